@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table
 from .decontaminate import find_contamination
 from .mixing import mix_sources
+from .near_duplicates import near_duplicates
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .token_count import count_tokens
@@ -48,12 +49,16 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op2_decontaminate, op3_secret_scan, op5_quality_rules, op6_token_store, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_count, op2_decontaminate, op3_secret_scan, op5_quality_rules, op6_token_store, op9_near_duplicates, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
