@@ -7,7 +7,7 @@ its minimum; where a coordinate stays empty, the document's bound on ranks is do
 coordinate with the probability of their weighted Jaccard similarity, at a cost of n + t steps instead of n k.
 
 BANDS bands of ROWS coordinates are joined: at similarity 0.8 a pair shares no band once in 150,000. Within a band's bucket,
-all members are compared with a pivot, exactly, by their units; then with a further pivot, the one closest to those before,
+all members are compared with a pivot, exactly, by their units; then with further pivots, one of them closest to those before,
 until all members of the bucket are known to be of one class or every one has been pivot. So a bucket of m copies takes m
 comparisons and no pair of a bucket goes unchecked that could still join two classes. Classes are joined by repeated contraction of
 edges to the least neighbour.
@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ SHINGLE = 5
 #: Similarity as a fraction.
 LEAST = (4, 5)
 ROWS, BANDS = 5, 30
+#: Further pivots of a bucket in each round after the first.
+PIVOTS = 3
 _STEP, _COPY = 0xD1342543DE82EF95, np.uint64(0xAF251AF3B0F025B5)
 
 
@@ -166,33 +169,34 @@ def contracted(edges: DataFrame) -> DataFrame | None:
 
 def classes_of(rows: DataFrame, units: DataFrame) -> DataFrame | None:
     """rows (band, node): node, class for the nodes that aren't the least of their class. units: node, units."""
-    open_bands = rows.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band", F.col("lo").alias("pivot"))
-    first, edges, checked, classes = True, None, None, None
-    while True:
-        if first:
-            met = rows.join(open_bands, "band").select("band", "node", "pivot", F.col("node").alias("class"), F.col("pivot").alias("pivot_class"))
-        else:
-            best = F.max_by(F.struct("node", "class"), F.struct("score", -F.col("node")))
-            pivots = rows.groupBy("band").agg(best.alias("p"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-            met = rows.join(pivots.select("band", F.col("p.node").alias("pivot"), F.col("p.class").alias("pivot_class")), "band").select("band", "node", "pivot", "class", "pivot_class")
-        met = written(met)
-        if met.isEmpty():
-            return classes
-        pairs = met.where("class <> pivot_class").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    first = rows.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band", F.array(F.struct(F.col("lo").alias("node"), F.col("lo").alias("class"))).alias("pivots"))
+    met = written(rows.join(first, "band").select("band", "node", F.col("node").alias("class"), "pivots"))
+    checked: list[DataFrame] = []
+    classes = None
+    while not met.isEmpty():
+        every = met.select("band", "node", "class", F.explode("pivots").alias("p")).where("p.node <> node")
+        pair = (F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+        pairs = every.where("class <> p.class").select(*pair).distinct()
+        for old in checked:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
         new = written(similar(pairs, units))
-        checked = new if checked is None else written(checked.unionAll(new))
-        edges = new.where("linked").select("a", "b") if edges is None else edges.unionAll(new.where("linked").select("a", "b"))
-        classes = contracted(edges)
-        known = checked.select("a", "b", "similarity")
-        left = met.where("node <> pivot").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")})
-        left = left.join(known, ["a", "b"], "left").select("band", "node", F.coalesce("similarity", F.lit(0.0)).alias("score"))
-        if classes is not None:
-            left = left.join(classes, "node", "left").select("band", "node", "score", F.coalesce("class", "node").alias("class"))
-        else:
-            left = left.withColumn("class", F.col("node"))
-        rows, first = left, False
+        checked.append(new)
+        known = reduce(DataFrame.unionAll, checked)
+        if not new.where("linked").isEmpty():
+            classes = contracted(known.where("linked").select("a", "b"))
+        score = every.select("band", "node", *pair).join(known.select("a", "b", "similarity"), ["a", "b"]).groupBy("band", "node").agg(F.max("similarity").alias("score"))
+        left = met.where(~F.array_contains(F.transform("pivots", lambda x: x["node"]), F.col("node"))).select("band", "node").join(score, ["band", "node"], "left").na.fill(0.0, ["score"])
+        left = left.withColumn("class", F.col("node")) if classes is None else left.join(classes, "node", "left").select("band", "node", "score", F.coalesce("class", "node").alias("class"))
+        met = written(_with_pivots(left, len(checked)))
+    return classes
+
+
+def _with_pivots(rows: DataFrame, turn: int) -> DataFrame:
+    """The rows of bands that hold several classes, with new pivots: the member closest to earlier ones, and PIVOTS others by hash."""
+    member = F.struct("node", "class")
+    ways = [F.struct("score", -F.col("node")), *(F.struct(F.xxhash64(F.lit(turn * PIVOTS + i), "node")) for i in range(PIVOTS))]
+    bands = rows.groupBy("band").agg(F.array_distinct(F.array(*[F.max_by(member, w) for w in ways])).alias("pivots"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
+    return rows.join(bands.select("band", "pivots"), "band").select("band", "node", "class", "pivots")
 
 
 def near_duplicates(docs: DataFrame, *, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
