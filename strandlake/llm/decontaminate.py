@@ -17,7 +17,6 @@ result; extra columns of the documents are carried along unchanged.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -60,12 +59,13 @@ def powers(base: np.uint64, n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B0
     return _kept[base][:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _LOWER, with_ends: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words of many texts, and the number of words before each text (and after the last).
 
-    data: UTF-8 bytes of all texts; offsets: where each begins and the last ends.
+    data: UTF-8 bytes of all texts; offsets: where each begins and the last ends; letters: what each byte counts as, 0 outside words.
+    with_ends: also where each word ends. prefixes: also hashes of the words' first so many bytes (the word's own if it has no more).
     """
-    low = _LOWER[data]
+    low = letters[data]
     inside = np.zeros(len(low) + 2, np.int8)
     inside[1:-1] = low != 0
     step = np.diff(inside)
@@ -77,8 +77,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         starts, ends = np.sort(np.concatenate([starts, split])), np.sort(np.concatenate([ends, split]))
     sums = np.zeros(len(low) + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers(_P, len(low)), out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * powers(_INVERSE, len(low) + 1)[starts]
-    return mixed(raw + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets, "left")
+    unit = powers(_INVERSE, len(low) + 1)[starts]
+
+    def hashed(stop: np.ndarray) -> np.ndarray:
+        return mixed((sums[stop] - sums[starts]) * unit + (stop - starts).astype(np.uint64))
+
+    out = hashed(ends), np.searchsorted(starts, offsets, "left"), *(hashed(np.minimum(ends, starts + n)) for n in prefixes)
+    return (*out, ends) if with_ends else out
 
 
 def text_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import crc_mod, shared_dir, table
 from .decontaminate import find_contamination
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
+from .quality_classifier import score_quality
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .token_count import count_tokens
 from .token_store import read_store, write_store
+from .toxicity import score_toxicity
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -49,6 +51,24 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path)
 
 
+def held_out(n: int, rest: int):
+    return (crc_mod(F.col("doc_id"), n) == rest).alias("held_out")
+
+
+def learnt_from(spark: SparkSession, sf_dir: str, label: str, n: int, rest: int) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(~held_out(n, rest)).select("doc_id", F.col(label).alias("label"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents"), learnt_from(spark, sf_dir, "toxic", 5, 0))
+    return scored.select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), learnt_from(spark, sf_dir, "quality", 4, 2))
+    return scored.select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,7 +78,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op2_decontaminate, op3_secret_scan, op5_quality_rules, op6_token_store, op9_near_duplicates, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_count, op2_decontaminate, op3_secret_scan, op4_toxicity, op5_quality_rules, op6_token_store, op7_quality_classifier, op9_near_duplicates, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
