@@ -11,6 +11,7 @@ from .common import crc_mod, shared_dir, table
 from .decontaminate import find_contamination
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
+from .pitman_yor import score_documents
 from .quality_classifier import score_quality
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
@@ -69,6 +70,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, docs.where(~held_out(7, 2)))
+    return scored.select("doc_id", held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -78,7 +85,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op2_decontaminate, op3_secret_scan, op4_toxicity, op5_quality_rules, op6_token_store, op7_quality_classifier, op9_near_duplicates, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_count, op2_decontaminate, op3_secret_scan, op4_toxicity, op5_quality_rules, op6_token_store, op7_quality_classifier, op8_pitman_yor, op9_near_duplicates, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
