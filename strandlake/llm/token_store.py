@@ -14,8 +14,9 @@ The folder holds
 Reading back takes the ids from the chunk files: their hashes are verified, and CRC-32s of the chunks are combined into
 documents' by the recipes, so ids move no more than once. `reconstruct` gives the id streams themselves.
 
-Ids come from the tokenizers library. Byte-level BPE splits a text into pieces first and encodes each by itself, so a worker
-encodes a piece once and keeps its ids, up to CACHE_PIECES (then it starts anew); a text that holds a special token is encoded whole.
+Ids come from the tokenizers library. Byte-level BPE splits a text into pieces first and encodes each by itself, so a worker encodes
+a piece once by the library's model and keeps its ids, up to CACHE_PIECES (then it starts anew); a text that holds a special
+token, and any text under a vocabulary of another kind, is encoded whole.
 
 Defined results: null text is the empty text (one id, the end); rows with equal doc_id are documents of their own, ordered
 by their ids' hash; a null doc_id comes first; an empty table gives an empty store and result; extra columns are ignored.
@@ -24,6 +25,7 @@ by their ids' hash; a null doc_id comes first; an empty table gives an empty sto
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .token_count import byte_alphabet
+
 END_ID = 0
 #: Ids under the rolling hash, log2 of a chunk's mean length, and its greatest length.
 RUN, CUT_BITS, MAX_CHUNK = 16, 8, 2048
@@ -44,6 +48,17 @@ BATCH_IDS = 1 << 20
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
+class Memory(dict):
+    """Computes what it lacks."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, key):
+        out = self[key] = self.of(key)
+        return out
+
+
 class Encoder:
     """Text to the bytes of its ids (two or four each)."""
 
@@ -57,10 +72,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        how = parts.get("pre_tokenizer") or {}
+        #: Whether pieces are encoded one by one; vocabularies of other kinds are applied to whole texts.
+        self.by_piece = parts.get("normalizer") is None and how.get("type") == "ByteLevel" and not how.get("add_prefix_space") and how.get("use_regex", True)
         self.split = regex.compile(PIECES).findall
+        self.alphabet = str.maketrans(dict(enumerate(byte_alphabet())))
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.met: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.met = Memory(self.part)
         self.end = np.array([END_ID], self.dtype).tobytes()
 
     @classmethod
@@ -72,31 +94,44 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces, those that begin with a blank as one text, whose split gives them back."""
-        spaced = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        for a in range(0, len(spaced), 4096):
-            part = spaced[a : a + 4096]
-            e = self.library.encode("".join(part), add_special_tokens=False)
-            ids, ends = np.array(e.ids, self.dtype), np.cumsum([len(p) for p in part])
-            at = np.searchsorted(ends, [x[1] for x in e.offsets], "left")  # offsets in characters; a piece's last id ends with it
-            cuts = np.searchsorted(at, np.arange(len(part) + 1))
-            for p, i, j in zip(part, cuts, cuts[1:], strict=False):
-                self.met[p] = ids[i:j].tobytes()
-        for p in pieces:
-            if p not in self.met:
-                self.met[p] = self.whole(p)
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            tokens = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
+            ids = self.pieces[piece] = b"".join([t.id.to_bytes(self.dtype.itemsize, "little") for t in tokens])
+        return ids
+
+    def stretch(self, text: str) -> bytes:
+        """Ids of a text or of a part that the split cuts out of one."""
+        return b"".join([self.piece(p) for p in self.split(text)])
+
+    def part(self, part: str) -> bytes | None:
+        """Ids of a blank and a part of a text between blanks; None where the blank may belong to a run of white space."""
+        if part.isalpha():
+            return self.piece(" " + part)
+        if part[-1:] in (".", ",") and part[:-1].isalpha():
+            return self.piece(" " + part[:-1]) + self.piece(part[-1])
+        return self.stretch(" " + part) if part and part.strip() == part else None
+
+    def text(self, text: str) -> bytes:
+        if not self.by_piece or any(s in text for s in self.special):
+            return self.whole(text)
+        # Where every blank stands alone, the split cuts before each one: the parts between are encoded once each.
+        first, *rest = text.split(" ")
+        try:
+            rest = b"".join(map(self.met.__getitem__, rest)) if first and not first[-1].isspace() or not rest else None
+        except TypeError:  # a None among them
+            rest = None
+        return self.stretch(text) if rest is None else self.stretch(first) + rest
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if any(s in (t or "") for s in self.special) else self.split(t or "") for t in texts]
-        if len(self.met) >= CACHE_PIECES:
-            self.met.clear()
-        met = self.met
-        fresh = {p for x in split if x for p in x if p not in met}
-        if fresh:
-            self.learn(list(fresh))
-        get = met.__getitem__
-        return [(self.whole(t) if x is None else b"".join(map(get, x))) + self.end for t, x in zip(texts, split, strict=True)]
+        out = []
+        for t in texts:
+            for memory in (self.met, self.pieces):
+                if len(memory) >= CACHE_PIECES:
+                    memory.clear()
+            out.append(self.text(t or "") + self.end)
+        return out
 
 
 _GEAR = np.random.default_rng(20).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
@@ -129,23 +164,18 @@ def merkle(hashes: list[bytes]) -> bytes:
 
 
 def crc_joined(crc: int, other: int, length: int, _shift: dict = {}) -> int:  # noqa: B006
-    """CRC-32 of a + b from those of a and b and b's length in bytes, by multiplying modulo the CRC's polynomial."""
-    x, n, k = crc, length, 0
-    while n:
-        if n & 1:
+    """CRC-32 of a + b from those of a and b and b's length in bytes: a's moves past b by appending powers of two of zero bytes."""
+    k = 0
+    while length >> k:
+        if length >> k & 1:
             if k not in _shift:
-                # Columns of the operator that appends 2**k zero bytes.
-                _shift[k] = [zlib.crc32(bytes(1 << k), c ^ 0) ^ zlib.crc32(bytes(1 << k), 0) for c in (1 << i for i in range(32))]
-            cols, y, i = _shift[k], 0, 0
-            while x:
-                if x & 1:
-                    y ^= cols[i]
-                x >>= 1
-                i += 1
-            x = y
-        n >>= 1
+                # What appending 2**k zero bytes does to each value of each byte of a CRC (it is linear).
+                empty = zlib.crc32(bytes(1 << k), 0)
+                _shift[k] = [[zlib.crc32(bytes(1 << k), v << at) ^ empty for v in range(256)] for at in (0, 8, 16, 24)]
+            t = _shift[k]
+            crc = t[0][crc & 255] ^ t[1][crc >> 8 & 255] ^ t[2][crc >> 16 & 255] ^ t[3][crc >> 24]
         k += 1
-    return x ^ other
+    return crc ^ other
 
 
 CHUNKS = "hash binary, ids binary, docs array<long>, keys array<binary>, places array<int>"
