@@ -7,8 +7,8 @@ its minimum; where a coordinate stays empty, the document's bound on ranks is do
 coordinate with the probability of their weighted Jaccard similarity, at a cost of n + t steps instead of n k.
 
 BANDS bands of ROWS coordinates are joined: at similarity 0.8 a pair shares no band once in 150,000. Within a band's bucket,
-all members are compared with a pivot, exactly, by their units; then with further pivots, one of them closest to those before,
-until all members of the bucket are known to be of one class or every one has been pivot. So a bucket of m copies takes m
+all members are compared with a few pivots, exactly, by their units; then with further pivots, one of them closest to those before,
+until all members of the bucket are known to be of one class or every one has been pivot. So a bucket of m copies takes some m
 comparisons and no pair of a bucket goes unchecked that could still join two classes. Classes are joined by repeated contraction of
 edges to the least neighbour.
 
@@ -34,15 +34,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import written
+from .common import small, written
 from .decontaminate import chunks, kgrams, mixed, text_bytes, word_hashes
 
 SHINGLE = 5
 #: Similarity as a fraction.
 LEAST = (4, 5)
 ROWS, BANDS = 5, 30
-#: Further pivots of a bucket in each round after the first.
-PIVOTS = 3
+#: Pivots of a bucket in each round, at most, beside the closest one.
+PIVOTS = 16
+#: Rows up to which the nodes of a round's pairs are broadcast to fetch their units.
+BROADCAST_NODES = 200_000
 _STEP, _COPY = 0xD1342543DE82EF95, np.uint64(0xAF251AF3B0F025B5)
 
 
@@ -124,6 +126,8 @@ def _key(words: np.ndarray) -> bytes:
 
 def similar(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """pairs (a, b) with their similarity (double) and whether it reaches LEAST, by their units."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    units = units.join(small(named, BROADCAST_NODES), "node", "left_semi")
     left = units.select(F.col("node").alias("a"), F.col("units").alias("ua"))
     right = units.select(F.col("node").alias("b"), F.col("units").alias("ub"))
     schema = StructType.fromDDL("a long, b long, similarity double, linked boolean")
@@ -169,17 +173,17 @@ def contracted(edges: DataFrame) -> DataFrame | None:
 
 def classes_of(rows: DataFrame, units: DataFrame) -> DataFrame | None:
     """rows (band, node): node, class for the nodes that aren't the least of their class. units: node, units."""
-    first = rows.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band", F.array(F.struct(F.col("lo").alias("node"), F.col("lo").alias("class"))).alias("pivots"))
-    met = written(rows.join(first, "band").select("band", "node", F.col("node").alias("class"), "pivots"))
+    many = rows.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
+    met = written(_with_pivots(rows.join(many, "band").select("band", "node", F.lit(0.0).alias("score"), F.col("node").alias("class")), 0))
     checked: list[DataFrame] = []
     classes = None
     while not met.isEmpty():
         every = met.select("band", "node", "class", F.explode("pivots").alias("p")).where("p.node <> node")
         pair = (F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
         pairs = every.where("class <> p.class").select(*pair).distinct()
-        for old in checked:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        new = written(similar(pairs, units))
+        if checked:
+            pairs = pairs.join(reduce(DataFrame.unionAll, checked), ["a", "b"], "left_anti")
+        new = written(similar(written(pairs), units))
         checked.append(new)
         known = reduce(DataFrame.unionAll, checked)
         if not new.where("linked").isEmpty():
@@ -192,10 +196,12 @@ def classes_of(rows: DataFrame, units: DataFrame) -> DataFrame | None:
 
 
 def _with_pivots(rows: DataFrame, turn: int) -> DataFrame:
-    """The rows of bands that hold several classes, with new pivots: the member closest to earlier ones, and PIVOTS others by hash."""
-    member = F.struct("node", "class")
-    ways = [F.struct("score", -F.col("node")), *(F.struct(F.xxhash64(F.lit(turn * PIVOTS + i), "node")) for i in range(PIVOTS))]
-    bands = rows.groupBy("band").agg(F.array_distinct(F.array(*[F.max_by(member, w) for w in ways])).alias("pivots"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
+    """The rows of bands that hold several classes, with new pivots: the member closest to earlier ones (at first the least), and one of each of PIVOTS shares by hash."""
+    member, mark = F.struct("node", "class"), F.xxhash64(F.lit(turn), "node")
+    share = rows.groupBy("band", F.pmod(mark, F.lit(PIVOTS)).alias("share")).agg(
+        F.max_by(member, mark).alias("some"), F.max(F.struct("score", (-F.col("node")).alias("n"), member.alias("m"))).alias("best"), F.min("class").alias("lo"), F.max("class").alias("hi")
+    )
+    bands = share.groupBy("band").agg(F.array_union(F.collect_list("some"), F.array(F.max("best")["m"])).alias("pivots"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
     return rows.join(bands.select("band", "pivots"), "band").select("band", "node", "class", "pivots")
 
 
@@ -208,7 +214,7 @@ def near_duplicates(docs: DataFrame, *, rows: int = ROWS, bands: int = BANDS) ->
     banded = written(chosen.select(F.explode("bands").alias("band"), "node").distinct())
     # Texts that share a doc_id are one node already; a doc_id that is copied by another text's class unites both.
     same = keyed.join(nodes, "key").where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
-    links = classes_of(banded, chosen.select("node", "units"))
+    links = classes_of(banded, keyed.select(F.col("doc_id").alias("node"), "units"))
     links = _with_same(links, same)
     by_key = nodes if links is None else nodes.join(links, "node", "left").select("key", F.coalesce("class", "node").alias("node"))
     return drawn.select("doc_id", "key").join(by_key, "key", "left").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("node")).alias("class_id"))
