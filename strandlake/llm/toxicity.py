@@ -29,7 +29,7 @@ from .common import labelled_sample
 from .decontaminate import chunks, mixed, text_bytes, word_hashes
 
 #: Bound on the labelled rows of each class.
-SAMPLE = 4000
+SAMPLE = 2500
 #: Bytes of a word's first parts, to which its own counts back off.
 PREFIXES = (3, 4, 5, 6)
 #: Log ratios beyond which a word counts as evidence.
@@ -41,8 +41,8 @@ UNSEEN = 1e-5
 class Level:
     """One interpolated order: p(x | context) of both classes, from discounted counts and shared continuation counts."""
 
-    def __init__(self, keys: np.ndarray, contexts: np.ndarray, toxic: np.ndarray, fresh: np.ndarray):
-        """fresh: the rows that hold a pair of neighbours for the first time; continuation counts are over these."""
+    def __init__(self, keys: np.ndarray, contexts: np.ndarray, toxic: np.ndarray, fresh: np.ndarray, least: int = 1):
+        """fresh: the rows that hold a pair of neighbours for the first time; continuation counts are over these. least: count of a kept key."""
         self.keys, at = np.unique(keys, return_inverse=True)
         self.contexts, of = np.unique(contexts, return_inverse=True)
         n, m = len(self.keys), len(self.contexts)
@@ -50,14 +50,16 @@ class Level:
         own = np.zeros(n, np.int64)
         own[at] = of
         self.shared = np.append(kinds / np.maximum(below[own], 1), 0.0) + UNSEEN
+        keep = np.bincount(at, minlength=n) >= least
+        self.keys, self.shared = self.keys[keep], self.shared[np.append(keep, True)].astype(np.float32)
         self.held, self.back = [], []
         for mine in (toxic, ~toxic):
             c, total = np.bincount(at[mine], minlength=n), np.bincount(of[mine], minlength=m)
             once, twice = (c == 1).sum(), (c == 2).sum()
             discount = max(once / (once + 2 * twice), 0.3) if once else 0.5
-            self.held.append(np.append(np.maximum(c - discount, 0) / np.maximum(total[own], 1), 0.0))
+            self.held.append(np.append((np.maximum(c - discount, 0) / np.maximum(total[own], 1))[keep], 0.0).astype(np.float32))
             rest = np.bincount(own, np.minimum(c, discount), minlength=m)
-            self.back.append(np.append(np.where(total > 0, rest / np.maximum(total, 1), 1.0), 1.0))
+            self.back.append(np.append(np.where(total > 0, rest / np.maximum(total, 1), 1.0), 1.0).astype(np.float32))
 
     def p(self, keys: np.ndarray, contexts: np.ndarray, lower: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
         """lower: the two probabilities that the back-off interpolates; else the shared one."""
@@ -78,29 +80,37 @@ class Model:
     """A word is its first bytes, then more of it, then the whole given those; and the word given the one before it."""
 
     def __init__(self, texts: list[str | None], toxic: np.ndarray):
-        words, bounds, *_ = parts = word_hashes(*text_bytes(texts), prefixes=PREFIXES)
+        done = [word_hashes(*text_bytes(texts[a:b]), prefixes=PREFIXES) for a, b in chunks(texts)]
+        ends = np.cumsum([0, *(len(x[0]) for x in done)])
+        bounds = np.concatenate([[0], *(x[1][1:] + e for x, e in zip(done, ends, strict=False))]).astype(np.int64)
+        parts = (np.concatenate([x[0] for x in done]), bounds, *(np.concatenate([x[i] for x in done]) for i in range(2, 2 + len(PREFIXES))))
         marks = np.repeat(toxic, np.diff(bounds))
-        fresh = np.unique(self.keys(parts)[-1][0], return_index=True)[1]
-        self.levels = [Level(k, c, marks, fresh) for k, c in self.keys(parts)]
+        n = len(PREFIXES) + 1
+        fresh = np.unique(self.keys(parts, n)[0], return_index=True)[1]
+        # A pair that the sample holds once says next to nothing after its discount.
+        self.levels = [Level(*self.keys(parts, i), marks, fresh, 2 if i == n else 1) for i in range(n + 1)]
 
     @staticmethod
-    def keys(parts: tuple[np.ndarray, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Key and context of each word at each level."""
+    def keys(parts: tuple[np.ndarray, ...], level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Key and context of each word at a level: of the chain of a word's parts, and at last of the pair."""
         words, bounds, *prefixes = parts
-        before = np.zeros(len(words), np.uint64)
-        before[1:] = words[:-1]
-        before[bounds[:-1][bounds[:-1] < len(words)]] = 0
-        chain = [np.zeros(len(words), np.uint64), *prefixes, words]
-        return [(mixed(c * np.uint64(3) + x), c) for c, x in [*zip(chain, chain[1:], strict=False), (before, words)]]
+        if level == len(prefixes) + 1:
+            context, own = np.zeros(len(words), np.uint64), words
+            context[1:] = words[:-1]
+            context[bounds[:-1][bounds[:-1] < len(words)]] = 0
+        else:
+            context = prefixes[level - 1] if level else np.zeros(len(words), np.uint64)
+            own = prefixes[level] if level < len(prefixes) else words
+        return mixed(context * np.uint64(3) + own), context
 
     def ratios(self, parts: tuple[np.ndarray, ...]) -> np.ndarray:
         """log p_toxic - log p_ordinary of each word."""
-        *chain, pair = self.keys(parts)
         toxic, plain = np.ones(len(parts[0])), np.ones(len(parts[0]))
-        for level, (k, c) in zip(self.levels, chain, strict=False):
-            t, p = level.p(k, c)
+        *chain, pair = self.levels
+        for i, level in enumerate(chain):
+            t, p = level.p(*self.keys(parts, i))
             toxic, plain = toxic * t, plain * p
-        toxic, plain = self.levels[-1].p(*pair, (toxic, plain))
+        toxic, plain = pair.p(*self.keys(parts, len(chain)), (toxic, plain))
         return np.log(toxic) - np.log(plain)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
