@@ -41,7 +41,7 @@ from .token_count import byte_alphabet
 END_ID = 0
 #: Ids under the rolling hash, log2 of a chunk's mean length, and its greatest length.
 RUN, CUT_BITS, MAX_CHUNK = 16, 8, 2048
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1 << 20
 #: Ids that are cut and joined at once.
 BATCH_IDS = 1 << 20
 #: The split of GPT-2's byte-level BPE, as the library applies it.
@@ -277,13 +277,16 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            c = b.column("c")
+            ends = c.offsets.to_numpy()
+            crc, size, good = (c.values.field(f).to_pylist() for f in ("crc", "size", "good"))
             crcs, intact = [], []
-            for n, c in zip(b.column("n_tokens").to_pylist(), b.column("c").to_pylist(), strict=True):
-                crc = 0
-                for x in c:
-                    crc = crc_joined(crc, x["crc"], x["size"])
-                crcs.append(crc)
-                intact.append(all(x["good"] for x in c) and sum(x["size"] for x in c) == 4 * n)
+            for n, i, j in zip(b.column("n_tokens").to_pylist(), ends, ends[1:], strict=False):
+                own = crc[i]
+                for k in range(i + 1, j):
+                    own = crc_joined(own, crc[k], size[k])
+                crcs.append(own)
+                intact.append(all(good[i:j]) and sum(size[i:j]) == 4 * n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array(intact, pa.bool_())], names=out.fieldNames())
 
     read = rows.select("doc_id", "part", "start", "n_tokens", "c").mapInArrow(combined, out)
