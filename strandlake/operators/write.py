@@ -39,6 +39,20 @@ def write(df: DataFrame, root: str, name: str, group: str = INDEX, *, merge: boo
         return _write(df, root, table, group, merge, align, missing)
 
 
+def write_wider(df: DataFrame, root: str, name: str, group: str) -> int:
+    """An overwrite whose partitions take all the input's columns beside the keys: columns that the group lacks join its schema,
+    NULL in the partitions that stay."""
+    group = group_name(group)
+    with write_lock(root, name):
+        table = discover(root, name)
+        known = table.group(group)
+        if known is not None:
+            keys = {k.lower() for k in table.keys}
+            there = {f.name.lower() for f in known.schema}
+            known.schema = StructType([*known.schema.fields, *(f for f in df.schema if f.name.lower() not in there | (keys if group != INDEX else set()))])
+        return _write(df, root, table, group, False, "key", "null")
+
+
 def _projected(df: DataFrame, table: Table, group: str, missing: str) -> tuple[DataFrame, StructType, tuple[str, str]]:
     """The input's keys and the group's columns, cast to its types; a new group takes all columns but the keys."""
     keys = table.keys
