@@ -8,7 +8,8 @@ coordinate with the probability of their weighted Jaccard similarity, at a cost
 
 BANDS bands of ROWS coordinates are joined: at similarity 0.8 a pair shares no band once in 150,000. Within a band's bucket,
 all members are compared with a few pivots, exactly, by their units; then with further pivots, one of them closest to those before,
-until all members of the bucket are known to be of one class or every one has been pivot. So a bucket of m copies takes some m
+until all members of the bucket are known to be of one class or every one has been pivot (comparisons that the triangle inequality
+rules out are left out). So a bucket of m copies takes some m
 comparisons and no pair of a bucket goes unchecked that could still join two classes. Classes are joined by repeated contraction of
 edges to the least neighbour.
 
@@ -41,8 +42,8 @@ SHINGLE = 5
 #: Similarity as a fraction.
 LEAST = (4, 5)
 ROWS, BANDS = 5, 30
-#: Pivots of a bucket in each round, at most, beside the closest one.
-PIVOTS = 16
+#: Pivots of a bucket in each round, at most, beside the closest one; and rounds with that one only.
+PIVOTS, SINGLE = 16, 3
 #: Rows up to which the nodes of a round's pairs are broadcast to fetch their units.
 BROADCAST_NODES = 200_000
 _STEP, _COPY = 0xD1342543DE82EF95, np.uint64(0xAF251AF3B0F025B5)
@@ -172,15 +173,21 @@ def contracted(edges: DataFrame) -> DataFrame | None:
 
 
 def classes_of(rows: DataFrame, units: DataFrame) -> DataFrame | None:
-    """rows (band, node): node, class for the nodes that aren't the least of their class. units: node, units."""
+    """rows (band, node): node, class for the nodes that aren't the least of their class. units: node, units.
+
+    score: the greatest similarity to a pivot so far; ref: the similarity to the bucket's first pivot. Jaccard distance is a metric, so
+    two members whose distances to the first pivot differ by more than the greatest distance of a link need no comparison.
+    """
     many = rows.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
-    met = written(_with_pivots(rows.join(many, "band").select("band", "node", F.lit(0.0).alias("score"), F.col("node").alias("class")), 0))
+    zero = F.lit(0.0)
+    met = written(_with_pivots(rows.join(many, "band").select("band", "node", zero.alias("score"), zero.alias("ref"), F.col("node").alias("class")), 0))
     checked: list[DataFrame] = []
     classes = None
     while not met.isEmpty():
-        every = met.select("band", "node", "class", F.explode("pivots").alias("p")).where("p.node <> node")
+        every = met.select("band", "node", "class", "ref", F.explode("pivots").alias("p")).where("p.node <> node")
         pair = (F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-        pairs = every.where("class <> p.class").select(*pair).distinct()
+        near = F.abs(F.col("ref") - F.col("p.ref")) <= 1 - LEAST[0] / LEAST[1] + 1e-9
+        pairs = every.where((F.col("class") != F.col("p.class")) & near).select(*pair).distinct()
         if checked:
             pairs = pairs.join(reduce(DataFrame.unionAll, checked), ["a", "b"], "left_anti")
         new = written(similar(written(pairs), units))
@@ -188,21 +195,24 @@ def classes_of(rows: DataFrame, units: DataFrame) -> DataFrame | None:
         known = reduce(DataFrame.unionAll, checked)
         if not new.where("linked").isEmpty():
             classes = contracted(known.where("linked").select("a", "b"))
-        score = every.select("band", "node", *pair).join(known.select("a", "b", "similarity"), ["a", "b"]).groupBy("band", "node").agg(F.max("similarity").alias("score"))
-        left = met.where(~F.array_contains(F.transform("pivots", lambda x: x["node"]), F.col("node"))).select("band", "node").join(score, ["band", "node"], "left").na.fill(0.0, ["score"])
-        left = left.withColumn("class", F.col("node")) if classes is None else left.join(classes, "node", "left").select("band", "node", "score", F.coalesce("class", "node").alias("class"))
+        seen = every.select("band", "node", *pair).join(known.select("a", "b", "similarity"), ["a", "b"]).groupBy("band", "node").agg(F.max("similarity").alias("now"))
+        left = met.where(~F.array_contains(F.transform("pivots", lambda x: x["node"]), F.col("node"))).join(seen, ["band", "node"], "left").na.fill(0.0, ["now"])
+        left = left.select("band", "node", F.greatest("score", "now").alias("score"), F.col("now" if len(checked) == 1 else "ref").alias("ref"))
+        left = left.withColumn("class", F.col("node")) if classes is None else left.join(classes, "node", "left").select("band", "node", "score", "ref", F.coalesce("class", "node").alias("class"))
         met = written(_with_pivots(left, len(checked)))
     return classes
 
 
 def _with_pivots(rows: DataFrame, turn: int) -> DataFrame:
-    """The rows of bands that hold several classes, with new pivots: the member closest to earlier ones (at first the least), and one of each of PIVOTS shares by hash."""
-    member, mark = F.struct("node", "class"), F.xxhash64(F.lit(turn), "node")
+    """The rows of bands that hold several classes, with new pivots: the member closest to earlier ones (at first the least), and after
+    SINGLE rounds, in which large groups join, one of each of PIVOTS shares by hash as well."""
+    member, mark = F.struct("node", "class", "ref"), F.xxhash64(F.lit(turn), "node")
     share = rows.groupBy("band", F.pmod(mark, F.lit(PIVOTS)).alias("share")).agg(
         F.max_by(member, mark).alias("some"), F.max(F.struct("score", (-F.col("node")).alias("n"), member.alias("m"))).alias("best"), F.min("class").alias("lo"), F.max("class").alias("hi")
     )
-    bands = share.groupBy("band").agg(F.array_union(F.collect_list("some"), F.array(F.max("best")["m"])).alias("pivots"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    return rows.join(bands.select("band", "pivots"), "band").select("band", "node", "class", "pivots")
+    best = F.array(F.max("best")["m"])
+    bands = share.groupBy("band").agg((best if turn < SINGLE else F.array_union(F.collect_list("some"), best)).alias("pivots"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    return rows.join(bands.select("band", "pivots"), "band").select("band", "node", "score", "ref", "class", "pivots")
 
 
 def near_duplicates(docs: DataFrame, *, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
