@@ -6,8 +6,9 @@ of its class, interpolated with continuation counts that both share (in how many
 neither class knows well has the same backed-off probability in both and says nothing; a new form of a known stem says what the stem says. A text is compared by length-normalised
 log-likelihood ratios: the mean over its words, the roots of the means of what exceeds each of STEPS, and the greatest; a logistic map, fitted on labelled rows that the counts leave out, turns them into a probability.
 
-Labels are learnt from a bounded sample (SAMPLE rows of each class at most, chosen by hash); every document is scored whole, in
-one map over Arrow batches, with no shuffle of texts. The models are sorted tables of at most the sample's words and pairs.
+Labels are learnt from a bounded sample (SAMPLE rows of each class at most, chosen by hash). Its words and pairs are counted in Spark,
+and each distinct one is kept, those that stand once too; the driver gets their counts and no texts. Every document is scored whole, in
+one map over Arrow batches, with no shuffle of texts. The models are sorted tables of the sample's words and pairs.
 
 Defined results: null or wordless texts get the score of a mean ratio of 0; ids may be null or repeat, each row is scored by itself;
 without labels of both classes every score is the prior (0.5 without labels); an empty table gives an empty result; extra
@@ -20,16 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import labelled_sample
+from .common import labelled_sample, written
 from .decontaminate import chunks, mixed, text_bytes, word_hashes
 
 #: Bound on the labelled rows of each class.
-SAMPLE = 2500
+SAMPLE = 4000
+#: Parts that the sample is dealt to.
+SPREAD = 16
 #: Bytes of a word's first parts, to which its own counts back off.
 PREFIXES = (3, 4, 5, 6)
 #: Log ratios beyond which a word counts as evidence.
@@ -41,24 +45,24 @@ UNSEEN = 1e-5
 class Level:
     """One interpolated order: p(x | context) of both classes, from discounted counts and shared continuation counts."""
 
-    def __init__(self, keys: np.ndarray, contexts: np.ndarray, toxic: np.ndarray, fresh: np.ndarray, least: int = 1):
-        """fresh: the rows that hold a pair of neighbours for the first time; continuation counts are over these. least: count of a kept key."""
+    def __init__(self, keys: np.ndarray, contexts: np.ndarray, counts: tuple[np.ndarray, np.ndarray], kinds: np.ndarray | None = None):
+        """A row for each key or part of one. counts: of both classes. kinds: in how many different pairs of neighbours it stands; without, nothing is shared."""
         self.keys, at = np.unique(keys, return_inverse=True)
         self.contexts, of = np.unique(contexts, return_inverse=True)
         n, m = len(self.keys), len(self.contexts)
-        kinds, below = np.bincount(at[fresh], minlength=n), np.bincount(of[fresh], minlength=m)
         own = np.zeros(n, np.int64)
         own[at] = of
-        self.shared = np.append(kinds / np.maximum(below[own], 1), 0.0) + UNSEEN
-        keep = np.bincount(at, minlength=n) >= least
-        self.keys, self.shared = self.keys[keep], self.shared[np.append(keep, True)].astype(np.float32)
+        self.shared = None
+        if kinds is not None:
+            below = np.bincount(of, kinds, m)
+            self.shared = np.append(np.bincount(at, kinds, n) / np.maximum(below[own], 1) + UNSEEN, UNSEEN).astype(np.float32)
         self.held, self.back = [], []
-        for mine in (toxic, ~toxic):
-            c, total = np.bincount(at[mine], minlength=n), np.bincount(of[mine], minlength=m)
+        for mine in counts:
+            c, total = np.bincount(at, mine, n), np.bincount(of, mine, m)
             once, twice = (c == 1).sum(), (c == 2).sum()
             discount = max(once / (once + 2 * twice), 0.3) if once else 0.5
-            self.held.append(np.append((np.maximum(c - discount, 0) / np.maximum(total[own], 1))[keep], 0.0).astype(np.float32))
-            rest = np.bincount(own, np.minimum(c, discount), minlength=m)
+            self.held.append(np.append(np.maximum(c - discount, 0) / np.maximum(total[own], 1), 0.0).astype(np.float32))
+            rest = np.bincount(own, np.minimum(c, discount), m)
             self.back.append(np.append(np.where(total > 0, rest / np.maximum(total, 1), 1.0), 1.0).astype(np.float32))
 
     def p(self, keys: np.ndarray, contexts: np.ndarray, lower: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -76,32 +80,38 @@ def found_at(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return at
 
 
+def pair_keys(contexts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return mixed(contexts * np.uint64(3) + own)
+
+
+def words_before(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The word before each in its text; 0 for the first."""
+    out = np.zeros(len(words), np.uint64)
+    out[1:] = words[:-1]
+    out[bounds[:-1][bounds[:-1] < len(words)]] = 0
+    return out
+
+
 class Model:
     """A word is its first bytes, then more of it, then the whole given those; and the word given the one before it."""
 
-    def __init__(self, texts: list[str | None], toxic: np.ndarray):
-        done = [word_hashes(*text_bytes(texts[a:b]), prefixes=PREFIXES) for a, b in chunks(texts)]
-        ends = np.cumsum([0, *(len(x[0]) for x in done)])
-        bounds = np.concatenate([[0], *(x[1][1:] + e for x, e in zip(done, ends, strict=False))]).astype(np.int64)
-        parts = (np.concatenate([x[0] for x in done]), bounds, *(np.concatenate([x[i] for x in done]) for i in range(2, 2 + len(PREFIXES))))
-        marks = np.repeat(toxic, np.diff(bounds))
-        n = len(PREFIXES) + 1
-        fresh = np.unique(self.keys(parts, n)[0], return_index=True)[1]
-        # A pair that the sample holds once says next to nothing after its discount.
-        self.levels = [Level(*self.keys(parts, i), marks, fresh, 2 if i == n else 1) for i in range(n + 1)]
+    def __init__(self, words: dict[str, np.ndarray], pairs: dict[str, np.ndarray]):
+        """What `counted` gives, as columns."""
+        parts = (words["word"], np.zeros(1, np.int64), *(words[f"p{n}"] for n in PREFIXES))
+        own = (words["toxic"], words["plain"])
+        self.levels = [Level(*self.keys(parts, i), own, words["kinds"]) for i in range(len(PREFIXES) + 1)]
+        self.levels.append(Level(pair_keys(pairs["before"], pairs["word"]), pairs["before"], (pairs["toxic"], pairs["plain"])))
 
     @staticmethod
     def keys(parts: tuple[np.ndarray, ...], level: int) -> tuple[np.ndarray, np.ndarray]:
         """Key and context of each word at a level: of the chain of a word's parts, and at last of the pair."""
         words, bounds, *prefixes = parts
         if level == len(prefixes) + 1:
-            context, own = np.zeros(len(words), np.uint64), words
-            context[1:] = words[:-1]
-            context[bounds[:-1][bounds[:-1] < len(words)]] = 0
+            context, own = words_before(words, bounds), words
         else:
             context = prefixes[level - 1] if level else np.zeros(len(words), np.uint64)
             own = prefixes[level] if level < len(prefixes) else words
-        return mixed(context * np.uint64(3) + own), context
+        return pair_keys(context, own), context
 
     def ratios(self, parts: tuple[np.ndarray, ...]) -> np.ndarray:
         """log p_toxic - log p_ordinary of each word."""
@@ -149,42 +159,89 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def text_sample(docs: DataFrame, ids: DataFrame) -> list:
-    """doc_id, label and text of a bounded sample of documents."""
+def text_sample(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, label and text of a bounded sample of documents. A quarter of each class is set aside: it calibrates, and gives no counts."""
     ids = ids.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id", F.xxhash64("text")).collect()
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("doc_id", F.xxhash64("text")))
+    return written(rows.withColumn("aside", turn % 4 == 0).repartition(SPREAD, "doc_id"))
+
+
+def counted(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A row for each word: word, hashes of its first bytes, counts of both classes, in how many different pairs; and for each pair: before, word, counts."""
+    firsts = [f"p{n}" for n in PREFIXES]
+    pair_schema = StructType.fromDDL("before long, word long, toxic long, plain long")
+    word_schema = StructType.fromDDL("word long, " + ", ".join(f"{p} long" for p in firsts))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, label = batch.column("text").to_pylist(), batch.column("label").to_numpy()
+            for a, b in chunks(texts):
+                words, bounds = word_hashes(*text_bytes(texts[a:b]))
+                before, toxic = words_before(words, bounds), np.repeat(label[a:b] == 1, np.diff(bounds))
+                order = np.lexsort((words, before))
+                before, words, toxic = before[order], words[order], toxic[order].astype(np.int64)
+                new = np.ones(len(words), bool)
+                new[1:] = (words[1:] != words[:-1]) | (before[1:] != before[:-1])
+                first = np.flatnonzero(new)
+                sums = np.diff(np.append(0, np.cumsum(toxic))[np.append(first, len(words))])
+                n = np.diff(np.append(first, len(words)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (before[first].view(np.int64), words[first].view(np.int64), sums, n - sums)], schema=to_arrow_schema(pair_schema))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in chunks(texts):
+                words, _, *prefixes = word_hashes(*text_bytes(texts[a:b]), prefixes=PREFIXES)
+                own, first = np.unique(words, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (own, *(p[first] for p in prefixes))], schema=to_arrow_schema(word_schema))
 
+    both = [F.sum(c).alias(c) for c in ("toxic", "plain")]
+    found = written(sample.select("text", "label").mapInArrow(pairs, pair_schema).groupBy("before", "word").agg(*both))
+    known = sample.select("text").mapInArrow(parts, word_schema).groupBy("word").agg(*(F.min(p).alias(p) for p in firsts))
+    return found.groupBy("word").agg(*both, F.count("*").alias("kinds")).join(known, "word"), found
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model | None, np.ndarray]:
+
+def columns(df: DataFrame) -> dict[str, np.ndarray]:
+    """On the driver; hashes unsigned."""
+    numbers = ("toxic", "plain", "kinds")
+    rows = df.select(*(F.col(c).cast("int") if c in numbers else c for c in df.columns)).toArrow()
+    return {c: x if c in numbers else x.view(np.uint64) for c in rows.column_names for x in [rows[c].to_numpy()]}
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Broadcast | None, np.ndarray]:
     """labels: doc_id, label (0 or 1). The model and the logistic weights (prior only without a model)."""
     labels = labels.where("doc_id is not null and label in (0, 1)")
     totals = {int(r[0]): r[1] for r in labels.groupBy("label").count().collect()}
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
     rows = text_sample(docs, labelled_sample(labels.where("label = 1"), sample).unionByName(labelled_sample(labels.where("label = 0"), sample)))
-    y = np.array([r["label"] for r in rows])
-    # A quarter of each class calibrates; its rows give no counts.
-    turn = np.zeros(len(y), int)
-    for c in (0, 1):
-        turn[y == c] = np.arange((y == c).sum())
-    aside = turn % 4 == 3
-    if not len(y) or any((y[m] == c).sum() == 0 for m in (aside, ~aside) for c in (0, 1)):
+    if rows.select("label", "aside").distinct().count() < 4:
         return None, np.append(np.zeros(2 + len(STEPS)), np.log(prior / (1 - prior)))
 
-    texts = [r["text"] for r in rows]
-    model = Model([t for t, m in zip(texts, aside, strict=True) if not m], y[~aside] == 1)
-    x, target = model.features([t for t, m in zip(texts, aside, strict=True) if m]), y[aside]
+    words, pairs = counted(rows.where("not aside"))
+    shared = docs.sparkSession.sparkContext.broadcast(Model(columns(words), columns(pairs)))
+    schema = StructType.fromDDL("doc_id long, label int, x array<double>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(texts := batch.column("text").to_pylist()):
+                x = shared.value.features(texts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.array(x.tolist(), pa.list_(pa.float64()))], schema=to_arrow_schema(schema))
+
+    known = sorted(tuple(r) for r in rows.where("aside").select("doc_id", "label", "text").mapInArrow(run, schema).collect())
+    x, target = np.array([r[2] for r in known]), np.array([r[1] for r in known])
     share = target.mean()
-    return model, logistic(x, target, np.where(target == 1, prior / share, (1 - prior) / (1 - share)))
+    return shared, logistic(x, target, np.where(target == 1, prior / share, (1 - prior) / (1 - share)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """A row for each document: doc_id, score (probability of label 1). docs: doc_id, text. labels: doc_id, label."""
     docs = docs.select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+    shared, w = fit(docs, labels, sample)
     schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("score double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow, (model, w) = to_arrow_schema(schema), shared.value
+        arrow, model = to_arrow_schema(schema), shared and shared.value
         for batch in batches:
             for a, b in chunks(texts := batch.column("text").to_pylist()):
                 x = np.zeros((b - a, len(w) - 1)) if model is None else model.features(texts[a:b])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandlake.llm import near_duplicates as nd
 from strandlake.llm import pitman_yor as py
 from strandlake.llm import token_store as ts
+from strandlake.llm import toxicity as tox
 from strandlake.llm.common import crc_mod, shared_dir
 from strandlake.llm.quality_classifier import score_quality
 from strandlake.llm.toxicity import score_toxicity
@@ -168,6 +169,25 @@ def test_classifiers_on_held_out_documents(spark, docs, none, score, label):
     assert {r.score for r in score(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_keeps_pairs_that_stand_once(spark):
+    assert tox.SAMPLE >= 4000
+    rows = [(1, 1, "a b a c"), (2, 0, "a b b d"), (3, 1, "a b"), (4, 0, "e b d"), (5, 1, None)]
+    words, pairs = tox.counted(spark.createDataFrame(rows, "doc_id long, label int, text string").repartition(2))
+    got = tox.columns(pairs)
+    model = tox.Model(tox.columns(words), got)
+    # -a, -e, ab, ba, ac, bb, bd, eb
+    assert sorted(zip(got["toxic"].tolist(), got["plain"].tolist(), strict=True)) == sorted([(2, 1), (0, 1), (2, 1), (1, 0), (1, 0), (0, 1), (0, 2), (0, 1)])
+    level = model.levels[-1]
+    assert len(level.keys) == 8
+    for c, name in enumerate(("toxic", "plain")):
+        for context in set(got["before"].tolist()):
+            mine = got["before"] == context
+            keys = tox.found_at(level.keys, tox.pair_keys(got["before"][mine], got["word"][mine]))
+            held, back = level.held[c][keys].sum(), level.back[c][tox.found_at(level.contexts, np.array([context], np.uint64))[0]]
+            assert held + back == pytest.approx(1, abs=1e-6)
+            assert (level.held[c][keys] > 0).tolist() == (got[name][mine] > 0).tolist()
+
+
 def tokens(t):
     return [*re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), None]
 
