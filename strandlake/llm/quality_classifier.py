@@ -1,14 +1,15 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
 Each word has a sparse ternary index vector, drawn from its hash. A term's context vector is the sum of the index vectors of the
-words within SPAN places of all its occurrences in all documents. Terms are hashed into buckets; there are two kinds: the word, and the
+words within SPAN places of all its occurrences in all documents. There are two kinds of terms, each with a vector of its own: the word, and the
 ending of the word with that of the one before it (two bytes each, and whether both words are equal). A document's vector
 is the mean of its terms' unit-length context vectors of each kind, with the logarithm of its length. A network with one hidden
 layer of tanh units is trained on it in numpy, and its logits are divided by a temperature fitted on labelled rows that training leaves out.
 
-Context vectors cover all documents: each task adds up its own matrix, of fixed size, and blocks of the matrices are added in two streaming
-steps (salted, so no task reads more than its share). Labels are learnt from a bounded sample (SAMPLE rows at most, by hash), of which
-only the vectors reach the driver. Texts are never shuffled.
+Context vectors cover all documents and all terms: sums of whole numbers, added up in each task for some GATHER rows at a time and then by term.
+Those of the HEAD most frequent terms are broadcast and summed by document in the map; all others are joined by term, and what
+they give is summed by text. Equal texts have one vector. Labels are learnt from a bounded sample (SAMPLE rows at most, by hash), of which
+only the vectors reach the driver. Texts are shuffled only where they are carried.
 
 Defined results: null or wordless texts have a zero vector and get its score; ids may be null or repeat, each row is scored by
 itself; without labels of both classes every score is the smoothed prior; an empty table gives an empty result; extra columns are
@@ -26,13 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import labelled_sample
+from .common import labelled_sample, written
 from .decontaminate import chunks, mixed, text_bytes, word_hashes
 
 #: Bound on the labelled rows.
 SAMPLE = 8000
-BUCKETS, DIMENSIONS, NONZERO, SPAN = 1 << 14, 32, 4, 2
-BLOCKS = 32
+DIMENSIONS, NONZERO, SPAN = 32, 4, 2
+#: Terms whose vectors are broadcast; rows that a task adds up at once.
+HEAD, GATHER = 1 << 18, 300_000
+#: The columns that stand for a text.
+KEY = ("_text_a", "_text_b")
 HIDDEN, EPOCHS, RATE = 32, 60, 3e-3
 #: Every byte but the six white-space ones belongs to a word.
 _WORD = np.arange(256, dtype=np.uint8)
@@ -41,7 +45,7 @@ _WORD[0] = 255  # a zero byte is part of a word too
 
 
 def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, buckets of words, buckets of endings (with an offset of BUCKETS), and the words before each text."""
+    """Word hashes, terms of words, terms of endings, and the words before each text."""
     data, offsets = text_bytes(texts)
     words, bounds, ends = word_hashes(data, offsets, _WORD, with_ends=True)
     last = data[ends - 1].astype(np.uint64) << np.uint64(8) | data[np.maximum(ends - 2, 0)].astype(np.uint64)
@@ -50,7 +54,7 @@ def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     first = bounds[:-1][bounds[:-1] < len(words)]
     before[first], same[first] = 0, 0
     endings = mixed(last << np.uint64(17) | before << np.uint64(1) | same)
-    return words, (words % np.uint64(BUCKETS)).astype(np.int64), (endings % np.uint64(BUCKETS)).astype(np.int64) + BUCKETS, bounds
+    return words, words, mixed(endings + np.uint64(1)), bounds
 
 
 def add_contexts(total: np.ndarray, words: np.ndarray, kinds: tuple[np.ndarray, ...], bounds: np.ndarray) -> None:
@@ -71,54 +75,154 @@ def add_contexts(total: np.ndarray, words: np.ndarray, kinds: tuple[np.ndarray,
                     total += np.bincount(row + p[of], s[of], len(total))
 
 
-def context_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit-length rows: of BUCKETS words, then of BUCKETS endings."""
-    size = 2 * BUCKETS * DIMENSIONS
-    schema = StructType.fromDDL("block int, salt int, vectors binary")
+def packed(sums: np.ndarray) -> list[bytes]:
+    """Rows of whole numbers: a byte each where that holds them, else four."""
+    narrow = np.abs(sums).max(axis=1, initial=0) <= 127
+    out, small, wide = np.empty(len(sums), object), sums[narrow].astype(np.int8), sums[~narrow].astype(np.int32)
+    out[narrow] = [r.tobytes() for r in small]
+    out[~narrow] = [r.tobytes() for r in wide]
+    return out.tolist()
 
-    def blocks(total: dict[int, np.ndarray], salt: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([salt] * len(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], schema=to_arrow_schema(schema))
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    out, narrow = np.zeros((len(rows), DIMENSIONS), np.int32), np.array([len(r) == DIMENSIONS for r in rows], bool)
+    out[narrow] = np.frombuffer(b"".join(r for r in rows if len(r) == DIMENSIONS), np.int8).reshape(-1, DIMENSIONS)
+    out[~narrow] = np.frombuffer(b"".join(r for r in rows if len(r) != DIMENSIONS), np.int32).reshape(-1, DIMENSIONS)
+    return out
+
+
+def unit(sums: np.ndarray) -> np.ndarray:
+    x = sums.astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
+
 
-        total, some = np.zeros(size), False
+def summed(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their rows."""
+    order = np.argsort(keys, kind="stable")
+    own, first = np.unique(keys[order], return_index=True)
+    return own, np.add.reduceat(n[order], first), np.add.reduceat(sums[order], first, axis=0)
+
+
+def context_vectors(docs: DataFrame) -> DataFrame:
+    """A row for each term: term, n (its occurrences), v (packed)."""
+    schema = StructType.fromDDL("term long, n long, v binary")
+
+    def rows(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(packed(sums), pa.binary())], schema=to_arrow_schema(schema))
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, waiting = [], 0
         for batch in batches:
             for a, b in chunks(texts := batch.column("text").to_pylist()):
                 words, *kinds, bounds = terms(texts[a:b])
-                add_contexts(total, words, tuple(kinds), bounds)
-                some = True
-        if some:
-            yield blocks(dict(enumerate(np.split(total.astype(np.float32), BLOCKS))), TaskContext.get().partitionId() % 64)
+                for kind in kinds:
+                    own, at, n = np.unique(kind.view(np.int64), return_inverse=True, return_counts=True)
+                    total = np.zeros(len(own) * DIMENSIONS)
+                    if len(own):
+                        add_contexts(total, words, (at,), bounds)
+                        parts.append((own, n, total.reshape(-1, DIMENSIONS).astype(np.int32)))
+                        waiting += len(own)
+                if waiting >= GATHER:
+                    yield rows(*summed(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+                    parts, waiting = [], 0
+        if parts:
+            yield rows(*summed(*(np.concatenate(x) for x in zip(*parts, strict=True))))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        # In order of terms: the last one of a batch may go on in the next.
+        held = None
         for batch in batches:
-            for k, v in zip(batch.column("block").to_pylist(), batch.column("vectors"), strict=True):
-                x = np.frombuffer(v.as_py(), np.float32)
-                total[k] = total[k] + x if k in total else x
-        if total:
-            yield blocks(total, 0)
-
-    parts = docs.select("text").mapInArrow(gathered, schema)
-    parts = parts.repartition("block", "salt").mapInArrow(added, schema).repartition("block").mapInArrow(added, schema)
-    out = np.zeros((BLOCKS, size // BLOCKS), np.float32)
-    for r in parts.collect():  # BLOCKS rows
-        out[r["block"]] += np.frombuffer(r["vectors"], np.float32)
-    out = out.reshape(-1, DIMENSIONS)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
-
-
-def document_vectors(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
-    _, *kinds, bounds = terms(texts)
-    n = np.diff(bounds)
-    out = np.zeros((len(n), 2 * DIMENSIONS + 1), np.float32)
-    some = np.flatnonzero(n)
-    if len(some):
-        for i, term in enumerate(kinds):
-            out[some, i * DIMENSIONS : (i + 1) * DIMENSIONS] = np.add.reduceat(vectors[term], bounds[some], axis=0) / n[some, None]
-    out[:, -1] = np.log1p(n)
-    return out
+            if not len(batch):
+                continue
+            new = batch.column("term").to_numpy(), batch.column("n").to_numpy(), unpacked(batch.column("v").to_pylist())
+            keys, n, sums = summed(*(new if held is None else (np.concatenate(x) for x in zip(held, new, strict=True))))
+            if len(keys) > 1:
+                yield rows(keys[:-1], n[:-1], sums[:-1])
+            held = keys[-1:], n[-1:], sums[-1:]
+        if held is not None:
+            yield rows(*held)
+
+    return written(docs.select("text").mapInArrow(gathered, schema).repartition("term").sortWithinPartitions("term").mapInArrow(added, schema))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({KEY[0]: F.xxhash64(text), KEY[1]: F.xxhash64(F.lit("b"), text)})
+
+
+def document_vectors(docs: DataFrame, vectors: DataFrame, head: int = HEAD) -> DataFrame:
+    """A row for each distinct text: KEY, x (2 DIMENSIONS + 1 floats)."""
+    top = vectors.orderBy(F.col("n").desc(), "term").limit(head).toArrow()  # at most head rows
+    order = np.argsort(known := top["term"].to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast((known[order], unit(unpacked(top["v"].to_pylist()))[order]))
+    schema = StructType.fromDDL(f"{KEY[0]} long, {KEY[1]} long, kind int, n long, term long, x binary")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each text, one row of what its head terms give (kind -1, n its length), and a row for each other term of a kind."""
+        known, vectors = shared.value
+        vectors = np.vstack([vectors, np.zeros((1, DIMENSIONS), np.float32)])
+        for batch in batches:
+            for a, b in chunks(texts := batch.column("text").to_pylist()):
+                _, *kinds, bounds = terms(texts[a:b])
+                n, keys = np.diff(bounds), [batch.column(k).to_numpy()[a:b] for k in KEY]
+                doc, some = np.repeat(np.arange(b - a), n), np.flatnonzero(n)
+                x, parts = np.zeros((b - a, 2 * DIMENSIONS), np.float32), [(np.arange(b - a), np.full(b - a, -1), n, np.zeros(b - a, np.int64))]
+                for i, kind in enumerate(k.view(np.int64) for k in kinds):
+                    at = np.searchsorted(known, kind)
+                    at[at == len(known)] = 0
+                    at = np.where(known[at] == kind, at, len(known)) if len(known) else at
+                    if len(some):
+                        x[some, i * DIMENSIONS : (i + 1) * DIMENSIONS] = np.add.reduceat(vectors[at], bounds[some], axis=0)
+                    rest = np.flatnonzero(at == len(known))
+                    rest = rest[np.lexsort((kind[rest], doc[rest]))]
+                    new = np.ones(len(rest), bool)
+                    new[1:] = (kind[rest[1:]] != kind[rest[:-1]]) | (doc[rest[1:]] != doc[rest[:-1]])
+                    first = rest[np.flatnonzero(new)]
+                    parts.append((doc[first], np.full(len(first), i), np.diff(np.append(np.flatnonzero(new), len(rest))), kind[first]))
+                of, kind, count, term = (np.concatenate(p).astype(np.int64) for p in zip(*parts, strict=True))
+                own = [r.tobytes() for r in x] + [None] * (len(of) - (b - a))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0][of]), pa.array(keys[1][of]), pa.array(kind.astype(np.int32)), pa.array(count), pa.array(term), pa.array(own, pa.binary())], schema=to_arrow_schema(schema))
+
+    out = StructType.fromDDL(f"{KEY[0]} long, {KEY[1]} long, x binary")
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # In order of texts, each with its row of head terms first; a text may go on in the next batch.
+        key, x, n = None, None, 0
+
+        def row() -> tuple:
+            return *key, np.append(x / max(n, 1), np.log1p(n)).astype(np.float32).tobytes()
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            done = []
+            a, b, kind, times = (batch.column(i).to_numpy() for i in range(4))
+            data = batch.column("x").to_pylist()
+            tail = np.flatnonzero(kind >= 0)
+            vectors = np.zeros((len(batch), DIMENSIONS), np.float32)
+            vectors[tail] = unit(unpacked([data[i] for i in tail])) * times[tail, None]
+            new = np.ones(len(batch), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])
+            first = np.flatnonzero(new)
+            sums = np.add.reduceat(vectors, first, axis=0)
+            for i, s in zip(first, sums, strict=True):
+                if kind[i] < 0:
+                    if key is not None:
+                        done.append(row())
+                    key, x, n = (a[i], b[i]), np.frombuffer(data[i], np.float32).astype(float), int(times[i])
+                else:
+                    x[kind[i] * DIMENSIONS : (kind[i] + 1) * DIMENSIONS] += s
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), to_arrow_schema(out), strict=True)], schema=to_arrow_schema(out))
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row(), to_arrow_schema(out), strict=True)], schema=to_arrow_schema(out))
+
+    rows = keyed(docs.select("text")).mapInArrow(split, schema)
+    tail = rows.where("kind >= 0").drop("x").join(vectors.select("term", F.col("v").alias("x")), "term").select(*schema.fieldNames())
+    every = tail.unionByName(rows.where("kind < 0"))
+    # Equal texts give equal rows: one of each.
+    every = every.repartition(*KEY).dropDuplicates([*KEY, "kind", "term"]).sortWithinPartitions(*KEY, "kind", "term")
+    return written(every.mapInArrow(pooled, out))
 
 
 class Network:
@@ -161,18 +265,11 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.standard(x)) / self.temperature, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = SAMPLE) -> Network | float:
-    """labels: doc_id, label (0 or 1). A network, or the prior where labels don't hold both classes."""
+def fit(docs: DataFrame, labels: DataFrame, vectors: DataFrame, sample: int = SAMPLE) -> Network | float:
+    """labels: doc_id, label (0 or 1). vectors: of the documents' texts. A network, or the prior where labels don't hold both classes."""
     ids = labelled_sample(labels.where("doc_id is not null and label in (0, 1)"), sample).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    schema = StructType.fromDDL("doc_id long, label int, x binary")
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = document_vectors(batch.column("text").to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], schema=to_arrow_schema(schema))
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").mapInArrow(run, schema).orderBy("doc_id", "x").collect()
+    known = keyed(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")).drop("text")
+    rows = vectors.join(F.broadcast(known), list(KEY)).select("doc_id", "label", "x").orderBy("doc_id", "x").collect()
     y = np.array([r["label"] for r in rows], float)
     if len(set(y)) < 2:
         return (y.sum() + 0.5) / (len(y) + 1)
@@ -182,16 +279,15 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = S
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: list[str] | None = None, name: str = "score") -> DataFrame:
     """docs' doc_id (or the columns in carry) with the probability of label 1 in the column `name`."""
     carry = carry or ["doc_id"]
-    vectors = context_vectors(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, fit(docs, labels, vectors, sample)))
-    schema = StructType([*(docs.schema[c] for c in carry), *StructType.fromDDL(f"`{name}` double").fields])
+    vectors = document_vectors(docs, context_vectors(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, vectors, sample))
+    schema = StructType.fromDDL(f"{KEY[0]} long, {KEY[1]} long, `{name}` double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow, (vectors, model) = to_arrow_schema(schema), shared.value
+        model = shared.value
         for batch in batches:
-            for a, b in chunks(texts := batch.column("text").to_pylist()):
-                scores = np.full(b - a, model) if isinstance(model, float) else model(document_vectors(texts[a:b], vectors))
-                old = [batch.column(c).slice(a, b - a).cast(arrow.field(c).type) for c in carry]
-                yield pa.RecordBatch.from_arrays([*old, pa.array(np.asarray(scores, float))], schema=arrow)
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, 2 * DIMENSIONS + 1)
+            scores = np.full(len(x), model) if isinstance(model, float) else model(x.astype(float))
+            yield pa.RecordBatch.from_arrays([batch.column(KEY[0]), batch.column(KEY[1]), pa.array(np.asarray(scores, float))], schema=to_arrow_schema(schema))
 
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
+    return keyed(docs.select(*dict.fromkeys([*carry, "text"]))).select(*carry, *KEY).join(vectors.mapInArrow(run, schema), list(KEY)).select(*carry, name)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import near_duplicates as nd
 from strandlake.llm import pitman_yor as py
+from strandlake.llm import quality_classifier as qc
 from strandlake.llm import token_store as ts
 from strandlake.llm import toxicity as tox
 from strandlake.llm.common import crc_mod, shared_dir
@@ -188,6 +189,31 @@ def test_toxicity_keeps_pairs_that_stand_once(spark):
             assert (level.held[c][keys] > 0).tolist() == (got[name][mine] > 0).tolist()
 
 
+@pytest.mark.parametrize("head", [0, 5, 1 << 18])
+def test_each_term_has_a_vector_of_its_own(spark, head):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(20_000)}x{rng.choice('abc')}" for _ in range(200)) for _ in range(200)] + ["", None, "one", "one"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    vectors = qc.context_vectors(frame)
+    words, *kinds, bounds = qc.terms(texts)
+    want = {}
+    for kind in kinds:
+        own, at = np.unique(kind, return_inverse=True)
+        total = np.zeros(len(own) * qc.DIMENSIONS)
+        qc.add_contexts(total, words, (at,), bounds)
+        want |= dict(zip(own.view(np.int64).tolist(), total.reshape(-1, qc.DIMENSIONS).astype(int).tolist(), strict=True))
+    rows = vectors.collect()
+    assert len(np.unique(words)) > 1 << 14 and len(rows) == len(want)
+    assert {r.term: qc.unpacked([r.v])[0].tolist() for r in rows} == want
+    got = {(r[0], r[1]): np.frombuffer(r.x, np.float32) for r in qc.document_vectors(frame, vectors, head).collect()}
+    keys = qc.keyed(frame).collect()
+    assert len(got) == len(set(texts) - {None})
+    for r in keys:
+        _, *kinds, _ = qc.terms([r.text])
+        x = [qc.unit(np.array([want[k] for k in kind.view(np.int64).tolist()])).mean(0) if len(kind) else np.zeros(qc.DIMENSIONS) for kind in kinds]
+        assert got[r[1], r[2]] == pytest.approx(np.append(np.concatenate(x), np.log1p(len(kinds[0]))), abs=1e-4)
+
+
 def tokens(t):
     return [*re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), None]
 
