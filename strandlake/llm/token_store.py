@@ -10,9 +10,12 @@ The folder holds
               Within a task equal chunks are joined before the shuffle, so a chunk of a third of all documents
               comes as one row from each map batch.
   recipes/    in ascending doc_id order: doc_id, start, n_tokens, chunk hashes, root (Merkle root over the chunk hashes), number of rows.
-  manifest/   a row for each recipe part: part, rows, tokens, root over its documents' roots; the store's own root is over these.
+  manifest/   a row for each recipe part: part, rows, tokens, root over its documents' starts, sizes, ids and roots.
+  root/       one row: the store's own root, over the rows of the manifest.
 Reading back takes the ids from the chunk files: their hashes are verified, and CRC-32s of the chunks are combined into
-documents' by the recipes, so ids move no more than once. `reconstruct` gives the id streams themselves.
+documents' by the recipes, so ids move no more than once. All roots are computed again: a document is intact if its chunks are there and
+good, its own root and size are right, and so are those of its part and the store's root, with no part missing.
+`reconstruct` gives the id streams themselves, unchecked.
 
 Ids come from the tokenizers library. Byte-level BPE splits a text into pieces first and encodes each by itself, so a worker encodes
 a piece once by the library's model and keeps its ids, up to CACHE_PIECES (then it starts anew); a text that holds a special
@@ -251,12 +254,25 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, width: int = 2) ->
             at = int(ends[-1]) if len(n) else at
 
     ordered.mapInArrow(numbered, schema).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    parts = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "root"))), lambda x: F.hex(x["root"])), ","), 256).alias("root"))
-    parts.coalesce(1).write.parquet(f"{path}/manifest")
+    part_sums(spark.read.parquet(f"{path}/recipes")).coalesce(1).write.parquet(f"{path}/manifest")
+    store_root(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/root")
+
+
+def part_sums(recipes: DataFrame) -> DataFrame:
+    """A row for each part: part, rows, tokens, root."""
+    leaf = F.concat_ws(":", "start", "n_tokens", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("root"))
+    root = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", leaf.alias("leaf")))), lambda x: x["leaf"]), ","), 256)
+    return recipes.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"), root.alias("root"))
+
+
+def store_root(manifest: DataFrame) -> DataFrame:
+    """One row, `root`."""
+    lines = F.sort_array(F.collect_list(F.struct("part", F.concat_ws(":", "part", "rows", "tokens", "root").alias("line"))))  # a row for each part
+    return manifest.agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ","), 256).alias("root"))
 
 
 def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """From the files: doc_id, start, n_tokens, ids_crc32 (of four-byte little-endian ids), whether hashes and sizes verify (intact)."""
+    """From the files: doc_id, start, n_tokens, ids_crc32 (of four-byte little-endian ids), whether hashes, sizes and roots verify (intact); null for a CRC whose chunks are not all there."""
     schema = StructType.fromDDL("hash binary, crc long, size long, good boolean")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,9 +286,23 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     chunks = spark.read.parquet(f"{path}/chunks").where("ids is not null").select("hash", "ids").mapInArrow(summed, schema)
     recipes = spark.read.parquet(f"{path}/recipes")
     manifest = spark.read.parquet(f"{path}/manifest")
-    offsets = manifest.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each part
-    keyed = recipes.select("part", "start", "n_tokens", "doc_id", F.posexplode("chunks").alias("place", "hash"))
-    rows = keyed.join(chunks, "hash").groupBy("part", "start", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("place", "crc", "size", "good"))).alias("c"))
+    known = spark.read.parquet(f"{path}/root").first()
+    sound = known is not None and known["root"] == store_root(manifest).first()["root"]
+    found = part_sums(recipes).withColumnsRenamed({c: f"own_{c}" for c in ("rows", "tokens", "root")})
+    same = (F.col("rows") == F.col("own_rows")) & (F.col("tokens") == F.col("own_tokens")) & (F.col("root") == F.col("own_root"))
+    complete = F.min(F.col("rows").isNotNull() & F.col("own_rows").isNotNull()).over(Window.partitionBy())
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = manifest.join(found, "part", "full_outer").select("part", before.alias("before"), (F.coalesce(same, F.lit(False)) & complete & F.lit(sound)).alias("checked"))  # a row for each part
+
+    rooted = StructType.fromDDL("doc_id long, part int, start long, n_tokens long, chunks array<binary>, rooted boolean")
+
+    def proved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [merkle(x or []) == r for x, r in zip(b.column("chunks").to_pylist(), b.column("root").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rooted.fieldNames()[:4]), b.column("chunks").cast(pa.list_(pa.binary())), pa.array(good, pa.bool_())], names=rooted.fieldNames())
+
+    keyed = recipes.select("doc_id", "part", "start", "n_tokens", "chunks", "root").mapInArrow(proved, rooted).select("part", "start", "n_tokens", "doc_id", "rooted", F.posexplode_outer("chunks").alias("place", "hash"))
+    rows = keyed.join(chunks, "hash", "left").groupBy("part", "start", "doc_id", "n_tokens", "rooted").agg(F.sort_array(F.collect_list(F.struct("place", "crc", "size", "good"))).alias("c"))
     out = StructType.fromDDL("doc_id long, part int, start long, n_tokens long, ids_crc32 long, intact boolean")
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,16 +311,20 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             ends = c.offsets.to_numpy()
             crc, size, good = (c.values.field(f).to_pylist() for f in ("crc", "size", "good"))
             crcs, intact = [], []
-            for n, i, j in zip(b.column("n_tokens").to_pylist(), ends, ends[1:], strict=False):
+            for n, root, i, j in zip(b.column("n_tokens").to_pylist(), b.column("rooted").to_pylist(), ends, ends[1:], strict=False):
+                if None in crc[i:j]:
+                    crcs.append(None)
+                    intact.append(False)
+                    continue
                 own = crc[i]
                 for k in range(i + 1, j):
                     own = crc_joined(own, crc[k], size[k])
                 crcs.append(own)
-                intact.append(all(good[i:j]) and sum(size[i:j]) == 4 * n)
+                intact.append(root and all(good[i:j]) and sum(size[i:j]) == 4 * n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array(intact, pa.bool_())], names=out.fieldNames())
 
-    read = rows.select("doc_id", "part", "start", "n_tokens", "c").mapInArrow(combined, out)
-    return read.join(F.broadcast(offsets), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "intact")
+    read = rows.select("doc_id", "part", "start", "n_tokens", "rooted", "c").mapInArrow(combined, out)
+    return read.join(F.broadcast(offsets), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", (F.col("intact") & F.col("checked")).alias("intact"))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:

@@ -64,6 +64,38 @@ def test_token_store(spark, docs, none, clashing, corpus, vocabulary, monkeypatc
     assert ts.read_store(spark, empty).count() == 0
 
 
+def test_damaged_stores_are_not_intact(spark, docs, vocabulary):
+    sound = shared_dir(spark)
+    ts.write_store(docs, vocabulary, sound)
+    of_107 = F.coalesce(F.col("doc_id") == 107, F.lit(False))  # many chunks
+
+    def intact(folder, change):
+        path = shared_dir(spark)
+        for name in ("chunks", "recipes", "manifest", "root"):
+            df = spark.read.parquet(f"{sound}/{name}")
+            (change(df) if name == folder else df).write.parquet(f"{path}/{name}")
+        return {(r.doc_id, r.start): r.intact for r in ts.read_store(spark, path).collect()}
+
+    whole = intact("", None)
+    assert all(whole.values()) and len(whole) == docs.count()
+    in_107 = {k for k in whole if k[0] == 107}
+    turned = intact("recipes", lambda df: df.withColumn("chunks", F.when(of_107, F.reverse("chunks")).otherwise(F.col("chunks"))))
+    assert {k for k, v in turned.items() if not v} == in_107 and len(turned) == len(whole)
+    part = spark.read.parquet(f"{sound}/recipes").where(of_107).first().part
+    others = {r.doc_id for r in spark.read.parquet(f"{sound}/recipes").where(F.col("part") == part).collect()}
+    lost = intact("recipes", lambda df: df.where(~of_107))
+    assert len(lost) == len(whole) - 1 and {k[0] for k, v in lost.items() if not v} == others - {107}
+    renamed = intact("recipes", lambda df: df.withColumn("doc_id", F.when(of_107, F.lit(99_999)).otherwise(F.col("doc_id"))))
+    assert not renamed[99_999, next(iter(in_107))[1]]
+    gone = intact("recipes", lambda df: df.where(F.col("part") != part))
+    assert not any(gone.values())
+    assert not any(intact("manifest", lambda df: df.withColumn("root", F.sha2("root", 256))).values())
+    assert not any(intact("root", lambda df: df.withColumn("root", F.sha2("root", 256))).values())
+    hashes = spark.read.parquet(f"{sound}/recipes").where(of_107).select(F.explode("chunks")).limit(1)
+    first = intact("chunks", lambda df: df.join(F.broadcast(hashes), df["hash"] == F.col("col"), "left_anti"))
+    assert len(first) == len(whole) and not any(first[k] for k in in_107)
+
+
 def test_equal_stretches_give_equal_chunks():
     rng = np.random.default_rng(4)
     shared, a, b = rng.integers(1, 50000, 6000), rng.integers(1, 50000, 700), rng.integers(1, 50000, 333)
