@@ -6,7 +6,8 @@ single words, and pairs of neighbouring word endings (two characters each, with
 so that a manner of writing which trusted text lacks shows even where each single word is new.
 
 Built-in functions only. Counts are partial sums on the map side, `buckets` rows at most per task; the weights reach the
-tasks as one array of `buckets` floats. Texts are neither shuffled nor collected.
+tasks as one array of `buckets` floats. Every trusted row counts. Texts are not collected, and shuffled (once, by doc_id) only
+where there are more than BROADCAST_IDS trusted ids.
 
 Defined results: null or blank text has no words, all counts 0, base_failed; ids may be null or repeat, each row is judged
 by itself; without any trusted document every ratio is 0, so only the base rules decide; an empty table gives an empty result;
@@ -18,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, labelled_sample, let, words_of
+from .common import SPACES, let, small, words_of
 
 BUCKETS = 1 << 16
-#: Bound on the trusted rows that the target multinomial is fitted on.
-TRUSTED_ROWS = 20_000
+#: Trusted ids up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Added to each bucket's count.
 SMOOTHING = 0.5
 #: Least mean log ratio of a kept document.
@@ -76,9 +77,9 @@ def pair_key(a: Column, b: Column) -> Column:
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row, `w`: array of log(p_target / p_raw) by bucket. docs: doc_id, text. trusted: doc_id, of bounded size."""
-    trusted = F.broadcast(trusted.select("doc_id", F.lit(1).alias("t")).distinct())
-    words = docs.select("doc_id", words_of(F.col("text")).alias("w")).join(trusted, "doc_id", "left")
+    """One row, `w`: array of log(p_target / p_raw) by bucket. docs: doc_id, text. trusted: doc_id."""
+    trusted = small(trusted.select("doc_id", F.lit(1).alias("t")).distinct(), BROADCAST_IDS)
+    words = docs.select("doc_id", "text").join(trusted, "doc_id", "left").select("t", words_of(F.col("text")).alias("w"))
     pairs = words.select(F.coalesce("t", F.lit(0)).alias("t"), F.explode(F.arrays_zip(F.col("w").alias("a"), shifted(F.col("w"), 1).alias("b"))).alias("z"))
     keys = pairs.select("t", F.explode(F.array(bucket(F.xxhash64("z.a"), buckets), bucket(pair_key(F.col("z.a"), F.col("z.b")), buckets))).alias("b"))
     counts = keys.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
@@ -91,10 +92,10 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
     return rows.select(F.when(F.col("good") == 0, F.array_repeat(F.lit(0.0), buckets)).otherwise(F.transform("c", lambda x: F.log(share(x["good"], "good") / share(x["raw"], "raw")))).alias("w"))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, *, trusted_rows: int = TRUSTED_ROWS, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, *, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """A row for each document: doc_id, the base counts, llr (double; null without words), base_failed and kept."""
     docs = docs.select("doc_id", "text")
-    weights = bucket_weights(docs, labelled_sample(trusted.select("doc_id").where("doc_id is not null"), trusted_rows), buckets)
+    weights = bucket_weights(docs, trusted.select("doc_id").where("doc_id is not null"), buckets)
     # Folded into one literal array by the optimizer; four decimals keep it short. Its length is `buckets`, whatever the corpus.
     weight = F.split(F.lit(",".join(f"{x:.4f}" for x in weights.first()["w"])), ",").cast("array<float>")
 

@@ -157,6 +157,14 @@ def test_quality_rules(spark, docs, none, clashing, corpus):
     assert quality_rules(docs, trusted.limit(0)).where("kept <> (NOT base_failed)").count() == 0
 
 
+@pytest.mark.parametrize("ids", [10, 1_000_000])
+def test_all_trusted_rows_count(spark, monkeypatch, ids):
+    monkeypatch.setattr("strandlake.llm.quality_rules.BROADCAST_IDS", ids)
+    frame = spark.range(30_000).selectExpr("id as doc_id", "concat('w', id % 500, ' v', id % 700, ' x') as text")
+    # Where all documents are trusted, the target is the corpus.
+    assert quality_rules(frame, frame.select("doc_id")).where("llr <> 0").count() == 0
+
+
 def highest(weights, limits, seats):
     quota = [0] * len(weights)
     for _ in range(seats):
