@@ -9,12 +9,10 @@ from strandlake.llm.common import shared_dir, small, table, words_of
 from strandlake.llm.decontaminate import NEW, find_contamination
 from strandlake.llm.mixing import mix_sources
 from strandlake.llm.near_duplicates import near_duplicates
-from strandlake.llm.quality_classifier import score_quality
+from strandlake.llm.quality_classifier import GOOD, score_quality
 from strandlake.llm.queries import learnt_from, vocabulary
 from strandlake.llm.token_store import read_store, write_store
 
-#: Documents with a lower probability of quality go.
-LEAST_QUALITY = 0.5
 #: Rows up to which ids that a stage drops are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -31,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (empty ones by the score of an empty text)."""
     safe, back = renamed(docs, ("_quality",))
     scored = score_quality(safe, learnt_from(spark, sf_dir, "quality", 4, 2), carry=safe.columns, name="_quality")
-    return scored.where(F.col("_quality") >= LEAST_QUALITY).drop("_quality").withColumnsRenamed(back)
+    return scored.where(F.col("_quality") >= GOOD).drop("_quality").withColumnsRenamed(back)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ HEAD, GATHER = 1 << 18, 300_000
 #: The columns that stand for a text.
 KEY = ("_text_a", "_text_b")
 HIDDEN, EPOCHS, RATE = 32, 60, 3e-3
+#: Least score of a document that counts as good.
+GOOD = 0.7
 #: Every byte but the six white-space ones belongs to a word.
 _WORD = np.arange(256, dtype=np.uint8)
 _WORD[[9, 10, 11, 12, 13, 32]] = 0

@@ -12,7 +12,7 @@ from .decontaminate import find_contamination
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
 from .pitman_yor import score_documents
-from .quality_classifier import score_quality
+from .quality_classifier import GOOD, score_quality
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .token_count import count_tokens
@@ -67,7 +67,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents"), learnt_from(spark, sf_dir, "quality", 4, 2))
-    return scored.select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(4, 2), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
 def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

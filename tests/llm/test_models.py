@@ -316,6 +316,22 @@ def test_pipeline(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == seen["tokenize"].count()
 
 
+def test_quality_stage_keeps_what_the_classifier_predicts(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+    from strandlake.llm import queries as q
+
+    def scored(docs, labels, carry=None, name="score", **_):
+        return docs.select(*(carry or ["doc_id"]), (F.col("doc_id") / 100).alias(name))
+
+    monkeypatch.setattr(cp, "score_quality", scored)
+    monkeypatch.setattr(q, "score_quality", scored)
+    spark.range(101).selectExpr("id as doc_id", "'x' as text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = cp.quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).select("doc_id")
+    predicted = q.op7_quality_classifier(spark, str(tmp_path)).where("predicted = 1").select("doc_id")
+    assert rows_of(kept) == rows_of(predicted) and kept.count() == 31
+
+
 def test_every_operator_is_registered():
     from strandlake.llm.queries import queries
 
