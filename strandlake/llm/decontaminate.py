@@ -182,11 +182,11 @@ def hits(words: np.ndarray, bounds: np.ndarray, items: Items) -> dict[int, list[
     return out
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | None], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
     for i, t in enumerate(texts):
         n = len(t or "")
-        if i > at and size + n > CHUNK_BYTES:
+        if i > at and size + n > most:
             yield at, i
             at, size = i, 0
         size += n

@@ -6,12 +6,14 @@ document's units) number about t = k ln k + 2 k, and each falls into one of k co
 its minimum; where a coordinate stays empty, the document's bound on ranks is doubled. Two documents agree in a
 coordinate with the probability of their weighted Jaccard similarity, at a cost of n + t steps instead of n k.
 
-BANDS bands of ROWS coordinates are joined: at similarity 0.8 a pair shares no band once in 150,000. Within a band's bucket,
-all members are compared with a few pivots, exactly, by their units; then with further pivots, one of them closest to those before,
-until all members of the bucket are known to be of one class or every one has been pivot (comparisons that the triangle inequality
-rules out are left out). So a bucket of m copies takes some m
-comparisons and no pair of a bucket goes unchecked that could still join two classes. Classes are joined by repeated contraction of
-edges to the least neighbour.
+BANDS bands of ROWS coordinates are joined: at similarity 0.8 a pair shares no band once in 150,000. Within a band's bucket the members
+of every class but the largest become pivots, PIVOTS[0] of them in the first round and more in each further one, up to PIVOTS[-1],
+and are compared with all members of other classes. A bucket is done when its members are of one class, or all members outside one class
+have been pivots: then no pair of the bucket is left that could join two classes. So a bucket of m copies takes some m comparisons,
+in a number of rounds that grows with the logarithm of m, and with m / PIVOTS[-1] only where a bucket's texts stay unlinked.
+Before texts are compared, sizes and bitmaps are: a bitmap has the parity of a text's units by hash, so two bitmaps differ in no more
+bits than the texts in units, and what they rule out is exact. What is left is compared by all 64 bits of the units, which are hashed again
+from the texts of the nodes concerned.
 
 Exact copies (equal words) are one node from the start. No group is gathered in a task: buckets and classes are only grouped by
 partial aggregates and joined, which AQE splits where skewed. State between rounds is written to the shared folder.
@@ -30,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -42,10 +44,14 @@ SHINGLE = 5
 #: Similarity as a fraction.
 LEAST = (4, 5)
 ROWS, BANDS = 5, 30
-#: Pivots of a bucket in each round, at most, beside the closest one; and rounds with that one only.
-PIVOTS, SINGLE = 16, 3
-#: Rows up to which the nodes of a round's pairs are broadcast to fetch their units.
-BROADCAST_NODES = 200_000
+#: Pivots of a bucket in each round; the last number holds for all further ones.
+PIVOTS = (1, 8, 64, 256)
+#: Bits of a bitmap for each unit, at least, and its greatest number of 64-bit words.
+BITS_PER_UNIT, MAX_BITMAP = 4, 64
+#: Rows (of ids, of buckets with their pivots) up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_PIVOTS = 500_000, 20_000
+#: Bytes of text that are hashed and sketched at once.
+SKETCH_BYTES = 1 << 20
 _STEP, _COPY = 0xD1342543DE82EF95, np.uint64(0xAF251AF3B0F025B5)
 
 
@@ -99,24 +105,40 @@ def band_hashes(minima: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketched(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, key (of the word sequence; null without words), bands, units (sorted 32-bit hashes)."""
-    schema = StructType.fromDDL("doc_id long, key binary, bands array<long>, units binary")
+def bitmap(units: np.ndarray) -> np.ndarray:
+    """Parity of the distinct units by their low bits, as signed 64-bit words: a power of two of them."""
+    words = 1
+    while words < MAX_BITMAP and 64 * words < BITS_PER_UNIT * len(units):
+        words *= 2
+    odd = np.bincount((units % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def hashed(texts: list[str | None]) -> Iterator[tuple[int, bytes | None, np.ndarray]]:
+    """Index, key (None without words) and sorted distinct units of each text, in order."""
+    for a, b in chunks(texts, SKETCH_BYTES):
+        words, bounds = word_hashes(*text_bytes(texts[a:b]))
+        units, cuts = units_of(words, bounds)
+        for i in range(b - a):
+            w = words[bounds[i] : bounds[i + 1]]
+            yield a + i, _key(w) if len(w) else None, np.unique(units[cuts[i] : cuts[i + 1]])
+
+
+def sketched(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """doc_id, key (of the word sequence; null without words), n (its distinct units), bands, bits."""
+    schema = StructType.fromDDL("doc_id long, key binary, n long, bands array<long>, bits array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(schema)
         for batch in batches:
-            for a, b in chunks(texts := batch.column("text").to_pylist()):
-                words, bounds = word_hashes(*text_bytes(texts[a:b]))
-                units, cuts = units_of(words, bounds, shingle)
-                bits = band_hashes(dart_minima(units, cuts, rows * bands), rows, bands)
-                keys, lists, small = [], [], []
-                for i in range(b - a):
-                    w = words[bounds[i] : bounds[i + 1]]
-                    keys.append(_key(w) if len(w) else None)
-                    lists.append(bits[i] if len(w) else [])
-                    small.append(np.unique((units[cuts[i] : cuts[i + 1]] >> np.uint64(32)).astype(np.uint32)).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(keys, pa.binary()), pa.array(lists, arrow.field("bands").type), pa.array(small, pa.binary())], schema=arrow)
+            for a, b in chunks(texts := batch.column("text").to_pylist(), SKETCH_BYTES):
+                found = list(hashed(texts[a:b]))
+                sets = [u for _, _, u in found]
+                sizes = np.array([len(u) for u in sets], np.int64)
+                cuts = np.concatenate([[0], np.cumsum(sizes)])
+                lists = band_hashes(dart_minima(np.concatenate(sets), cuts, rows * bands), rows, bands)
+                columns = [batch.column("doc_id").slice(a, b - a), [k for _, k, _ in found], sizes, [x if n else [] for x, n in zip(lists, sizes, strict=True)], [bitmap(u) if len(u) else [] for u in sets]]
+                arrow = to_arrow_schema(schema)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -125,30 +147,42 @@ def _key(words: np.ndarray) -> bytes:
     return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
 
+def units_by_node(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, key, units (sorted, eight bytes each) for nodes (node, key), from their texts."""
+    schema = StructType.fromDDL("node long, key binary, units binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, own = batch.column("key").to_pylist(), []
+            for i, key, units in hashed(batch.column("text").to_pylist()):
+                if key == keys[i]:  # a doc_id may have other texts as well
+                    own.append((i, units.tobytes()))
+            at = pa.array([i for i, _ in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("key").take(at).cast(pa.binary()), pa.array([u for _, u in own], pa.binary())], schema=to_arrow_schema(schema))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small(nodes, BROADCAST_IDS), "node")
+    return texts.select("node", "key", "text").mapInArrow(run, schema).groupBy("node", "key").agg(F.first("units").alias("units"))
+
+
 def similar(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """pairs (a, b) with their similarity (double) and whether it reaches LEAST, by their units."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    units = units.join(small(named, BROADCAST_NODES), "node", "left_semi")
-    left = units.select(F.col("node").alias("a"), F.col("units").alias("ua"))
-    right = units.select(F.col("node").alias("b"), F.col("units").alias("ub"))
-    schema = StructType.fromDDL("a long, b long, similarity double, linked boolean")
+    """pairs (a, b) with whether any two of their texts reach LEAST, by their units."""
+    schema = StructType.fromDDL("a long, b long, linked boolean")
+    left, right = (units.select(F.col("node").alias(x), F.col("units").alias(f"u{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            share, linked = [], []
+            linked = []
             for x, y in zip(batch.column("ua"), batch.column("ub"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 if len(y) > len(x):
                     x, y = y, x
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
                 both = int((x[at] == y).sum())
-                every = len(x) + len(y) - both
-                share.append(both / every)
-                linked.append(both * LEAST[1] >= every * LEAST[0])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64()), pa.array(linked, pa.bool_())], names=schema.fieldNames())
+                linked.append(both * LEAST[1] >= (len(x) + len(y) - both) * LEAST[0])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], schema=to_arrow_schema(schema))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub").mapInArrow(run, schema).groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("linked").alias("linked"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub").mapInArrow(run, schema).groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
 def contracted(edges: DataFrame) -> DataFrame | None:
@@ -172,60 +206,66 @@ def contracted(edges: DataFrame) -> DataFrame | None:
     return classes if classes is None else classes.where("node <> class")
 
 
-def classes_of(rows: DataFrame, units: DataFrame) -> DataFrame | None:
-    """rows (band, node): node, class for the nodes that aren't the least of their class. units: node, units.
-
-    score: the greatest similarity to a pivot so far; ref: the similarity to the bucket's first pivot. Jaccard distance is a metric, so
-    two members whose distances to the first pivot differ by more than the greatest distance of a link need no comparison.
-    """
-    many = rows.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
-    zero = F.lit(0.0)
-    met = written(_with_pivots(rows.join(many, "band").select("band", "node", zero.alias("score"), zero.alias("ref"), F.col("node").alias("class")), 0))
+def may_link(p: Column) -> Column:
+    """Whether a row's text may reach LEAST with the pivot p, by class, sizes and bitmaps."""
+    least, most = LEAST
+    fits = most * F.least("n", p["n"]) >= least * F.greatest("n", p["n"])
+    differ = F.aggregate(F.zip_with("bits", p["bits"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = F.when(F.size("bits") == F.size(p["bits"]), differ * (most + least) <= (most - least) * (F.col("n") + p["n"])).otherwise(True)
+    return F.when((F.col("class") != p["class"]) & fits, near).otherwise(False)
+
+
+def classes_of(members: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """members (node, key, n, bands, bits): node, class for the nodes that aren't the least of their class; None without links."""
+    banded = members.select(F.explode("bands").alias("band"), "node")
+    many = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
+    several = written(banded.join(many, "band"))
+    # A text that shares many buckets lies in the middle of its group.
+    wanted = several.groupBy("node").agg(F.count("*").alias("degree"))
+    wanted = written(members.select("node", "key", "n", "bits").join(wanted, "node"))
+    units = written(units_by_node(docs, wanted.select("node", "key")))
+    met = written(several.join(wanted.drop("key"), "node").withColumn("class", F.col("node")))
     checked: list[DataFrame] = []
-    classes = None
-    while not met.isEmpty():
-        every = met.select("band", "node", "class", "ref", F.explode("pivots").alias("p")).where("p.node <> node")
-        pair = (F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-        near = F.abs(F.col("ref") - F.col("p.ref")) <= 1 - LEAST[0] / LEAST[1] + 1e-9
-        pairs = every.where((F.col("class") != F.col("p.class")) & near).select(*pair).distinct()
+    classes, turn = None, 0
+    while not (pivots := written(pivots_of(met, turn))).isEmpty():
+        met = met.join(small(pivots, BROADCAST_PIVOTS), "band")
+        other = F.explode(F.transform(F.filter("pivots", may_link), lambda p: p["node"]))
+        pairs = met.select("node", other.alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         if checked:
             pairs = pairs.join(reduce(DataFrame.unionAll, checked), ["a", "b"], "left_anti")
         new = written(similar(written(pairs), units))
         checked.append(new)
-        known = reduce(DataFrame.unionAll, checked)
         if not new.where("linked").isEmpty():
-            classes = contracted(known.where("linked").select("a", "b"))
-        seen = every.select("band", "node", *pair).join(known.select("a", "b", "similarity"), ["a", "b"]).groupBy("band", "node").agg(F.max("similarity").alias("now"))
-        left = met.where(~F.array_contains(F.transform("pivots", lambda x: x["node"]), F.col("node"))).join(seen, ["band", "node"], "left").na.fill(0.0, ["now"])
-        left = left.select("band", "node", F.greatest("score", "now").alias("score"), F.col("now" if len(checked) == 1 else "ref").alias("ref"))
-        left = left.withColumn("class", F.col("node")) if classes is None else left.join(classes, "node", "left").select("band", "node", "score", "ref", F.coalesce("class", "node").alias("class"))
-        met = written(_with_pivots(left, len(checked)))
+            classes = contracted(reduce(DataFrame.unionAll, checked).where("linked").select("a", "b"))
+        met = met.where(~F.exists("pivots", lambda p: p["node"] == F.col("node"))).drop("pivots")
+        if classes is not None:
+            met = met.drop("class").join(small(classes, BROADCAST_IDS), "node", "left").withColumn("class", F.coalesce("class", "node"))
+        met = written(met)
+        turn += 1
     return classes
 
 
-def _with_pivots(rows: DataFrame, turn: int) -> DataFrame:
-    """The rows of bands that hold several classes, with new pivots: the member closest to earlier ones (at first the least), and after
-    SINGLE rounds, in which large groups join, one of each of PIVOTS shares by hash as well."""
-    member, mark = F.struct("node", "class", "ref"), F.xxhash64(F.lit(turn), "node")
-    share = rows.groupBy("band", F.pmod(mark, F.lit(PIVOTS)).alias("share")).agg(
-        F.max_by(member, mark).alias("some"), F.max(F.struct("score", (-F.col("node")).alias("n"), member.alias("m"))).alias("best"), F.min("class").alias("lo"), F.max("class").alias("hi")
-    )
-    best = F.array(F.max("best")["m"])
-    bands = share.groupBy("band").agg((best if turn < SINGLE else F.array_union(F.collect_list("some"), best)).alias("pivots"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    return rows.join(bands.select("band", "pivots"), "band").select("band", "node", "score", "ref", "class", "pivots")
+def pivots_of(rows: DataFrame, turn: int) -> DataFrame:
+    """band and pivots for the buckets of several classes: of the members outside the largest class (at first of all), the one of the greatest degree in each of some shares."""
+    sizes = rows.groupBy("band", "class").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("m", "class")).alias("largest"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band", F.col("largest.class").alias("largest"))
+    left = rows.join(small(written(largest), BROADCAST_IDS), "band")
+    some = left if turn == 0 else left.where("class <> largest")
+    share = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(PIVOTS[min(turn, len(PIVOTS) - 1)]))
+    one = F.max_by(F.struct("node", "class", "n", "bits"), F.struct("degree", -F.col("node")))
+    return some.groupBy("band", share.alias("share")).agg(one.alias("p")).groupBy("band").agg(F.collect_list("p").alias("pivots"))
 
 
 def near_duplicates(docs: DataFrame, *, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """A row for each document: doc_id, class_id (the least doc_id of its class)."""
     drawn = written(sketched(docs, rows, bands))
     keyed = drawn.where("key is not null")
-    nodes = written(keyed.groupBy("key").agg(F.min("doc_id").alias("node")))
-    chosen = keyed.join(nodes.withColumn("doc_id", F.col("node")), ["key", "doc_id"])
-    banded = written(chosen.select(F.explode("bands").alias("band"), "node").distinct())
+    # Equal words give equal sketches: the first will do.
+    members = written(keyed.groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "bands", "bits"))))
+    nodes = members.select("key", "node")
     # Texts that share a doc_id are one node already; a doc_id that is copied by another text's class unites both.
-    same = keyed.join(nodes, "key").where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
-    links = classes_of(banded, keyed.select(F.col("doc_id").alias("node"), "units"))
-    links = _with_same(links, same)
+    same = keyed.select("key", "doc_id").join(nodes, "key").where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
+    links = _with_same(classes_of(members.where("node is not null"), docs), same)
     by_key = nodes if links is None else nodes.join(links, "node", "left").select("key", F.coalesce("class", "node").alias("node"))
     return drawn.select("doc_id", "key").join(by_key, "key", "left").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("node")).alias("class_id"))
 

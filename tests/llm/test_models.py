@@ -163,6 +163,30 @@ def test_near_duplicates(spark, docs, none, clashing, corpus):
     assert nd.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("pivots", [(1, 8, 64, 256), (2, 16)])
+def test_large_groups_of_near_copies(spark, monkeypatch, pivots):
+    """Hundreds of copies of one text, few of which are close to each other: several rounds of pivots, and no link lost."""
+    monkeypatch.setattr(nd, "PIVOTS", pivots)
+    rng = random.Random(11)
+    base = text_of(rng, 150)
+    rows = [(i, edited(rng, base, rng.choice([0.005, 0.02, 0.03, 0.04]))) for i in range(110)]
+    for i in range(110, 130):
+        rows.append((i, edited(rng, rows[rng.randrange(len(rows))][1], 0.01)))
+    want = brute_classes(rows)
+    assert 15 < len(set(want.values())) < 100
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()} == want
+
+
+def test_bitmaps_never_differ_in_more_bits_than_the_units():
+    rng = np.random.default_rng(5)
+    for n, shared in ((10, 3), (150, 120), (3000, 2900), (9000, 100)):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[:shared], rng.integers(0, 1 << 63, n - shared, dtype=np.uint64)])
+        x, y = nd.bitmap(a), nd.bitmap(b)
+        assert len(x) == len(y) <= nd.MAX_BITMAP
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= 2 * (n - shared)
+
+
 def test_dart_minima_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
