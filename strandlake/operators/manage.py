@@ -15,7 +15,9 @@ from pyspark.sql.types import StructType
 
 from ..functions.types import parse_columns, to_arrow
 from ..plans.layout import INDEX, ROWS_PER_GROUP, ROWS_PER_PART, LayoutError, Table, check_keys, discover, filesystem, group_name, part_name, partition_key, partition_kind, partition_period
+from ..sources.scan import RowReader
 from .lock import LOCK, next_transaction, write_lock
+from .swap import Move, clear, swap
 
 
 class Created(NamedTuple):
@@ -50,6 +52,34 @@ def _nulls(store: pafs.FileSystem, path: str, schema: StructType, rows: int) ->
             at += max(n, 1)
 
 
+def _null_parts(root: str, place: str, schema: StructType, sizes: dict[str, int]) -> int:
+    """All-NULL parts in partition directories of place; by tasks where there is more than a part's rows and a session. Returns the files."""
+    store, _ = filesystem(root)
+    parts = [(f"{place}/{key}/{part_name(i, n)}", n) for key, rows in sizes.items() for i, n in enumerate(_cut(rows))]
+    for key in sizes:
+        store.create_dir(f"{place}/{key}")
+    spark = SparkSession.getActiveSession()
+    if spark is None or sum(sizes.values()) <= ROWS_PER_PART:
+        for path, n in parts:
+            _nulls(store, path, schema, n)
+        return len(parts)
+
+    def run(batches):
+        own, _ = filesystem(root)
+        for batch in batches:
+            for job in batch.to_pylist():
+                _nulls(own, job["path"], schema, job["n"])
+            yield pa.RecordBatch.from_arrays([batch.column("n")], names=["n"])
+
+    spark.createDataFrame(parts, "path string, n long").repartition(min(len(parts), 1000)).mapInArrow(run, "n long").collect()  # a row for each part
+    return len(parts)
+
+
+def _cut(rows: int) -> list[int]:
+    """Sizes of full parts and a rest; one empty part without rows."""
+    return [min(ROWS_PER_PART, rows - a) for a in range(0, rows, ROWS_PER_PART)] or [0]
+
+
 def parse_groups(text: str | dict) -> dict[str, list[str]]:
     """'index:close;factor/alpha:a,b' as a dictionary."""
     if isinstance(text, dict):
@@ -88,9 +118,13 @@ def create_table(root: str, name: str, columns: str | StructType, *, groups: str
     if store.get_file_info(f"{folder}/{INDEX}").type != pafs.FileType.NotFound:
         raise LayoutError(f"table '{name}' already exists")
     key = partition_key(partition_kind(partition_template), today())
-    for g, own in shared.items():
-        store.create_dir(f"{folder}/{g}/{key}", recursive=True)
-        _nulls(store, f"{folder}/{g}/{key}/{part_name(0, 0)}", own, 0)
+    store.create_dir(folder, recursive=True)
+    with write_lock(root, name):
+        if store.get_file_info(f"{folder}/{INDEX}").type != pafs.FileType.NotFound:
+            raise LayoutError(f"table '{name}' already exists")
+        for g, own in sorted(shared.items(), key=lambda x: x[0] == INDEX):  # the index comes last: without one there is no table yet
+            store.create_dir(f"{folder}/{g}/{key}", recursive=True)
+            _nulls(store, f"{folder}/{g}/{key}/{part_name(0, 0)}", own, 0)
     below = {"/".join(f"{g}/{key}".split("/")[:n]) for g in shared for n in range(1, f"{g}/{key}".count("/") + 2)}
     return Created(len(below), len(shared), next_transaction())
 
@@ -111,11 +145,8 @@ def create_group(root: str, name: str, group: str, columns: str | StructType | N
             return Created(1, 0, next_transaction())
         schema, keys = parse_columns(columns), {k.lower() for k in table.keys}
         schema = StructType([f for f in schema if f.name.lower() not in keys])
-        for key in table.starts:
-            store.create_dir(f"{place}/{key}")
-            rows = table.index.rows(key)
-            _nulls(store, f"{place}/{key}/{part_name(0, rows)}", schema, rows)
-        return Created(len(table.starts), len(table.starts), next_transaction())
+        files = _null_parts(root, place, schema, {k: table.index.rows(k) for k in table.starts})
+        return Created(len(table.starts), files, next_transaction())
 
 
 def create_partition(root: str, name: str, key: str) -> Created:
@@ -155,12 +186,13 @@ def drop(root: str, name: str, group: str) -> Dropped:
 
 
 def compact(spark: SparkSession, root: str, name: str, group: str = "all") -> Compacted:
-    """Every group's partitions as full parts and a rest, rows in order. Each partition directory is one task, which streams it by row groups."""
+    """Every group's partitions as full parts and a rest, rows in order. Each new part is a task, which reads its rows by row groups."""
     with write_lock(root, name):
         table = discover(root, name)
         if group.lower() != "all" and table.group(group) is None:
             raise LayoutError(f"unknown group '{group}'")
-        before, kept, jobs = 0, 0, []
+        before, kept, jobs, dirs = 0, 0, [], []
+        store, _ = filesystem(root)
         stage = f"{table.path}/_tmp/transaction-{next_transaction()}"
         for g in table.groups:
             for key, parts in g.partitions.items():
@@ -169,74 +201,53 @@ def compact(spark: SparkSession, root: str, name: str, group: str = "all") -> Co
                 normal = len(rows) == 1 or (all(r == ROWS_PER_PART for r in rows[:-1]) and 0 < rows[-1] <= ROWS_PER_PART)
                 if normal and [p.index for p in parts] == list(range(len(parts))):
                     kept += len(parts)
-                else:
-                    jobs.append((g.name, key, [p.path for p in parts], rows))
+                    continue
+                dirs.append(Move(f"{stage}/_ready/{g.name}/{key}", f"{g.name}/{key}"))
+                at = 0
+                for i, n in enumerate(_cut(sum(rows))):
+                    own = [(p.path, p.start, p.rows) for p in parts if p.rows and p.start < at + n and p.start + p.rows > at] or [(parts[-1].path, 0, 0)]
+                    jobs.append((f"{dirs[-1].fresh}/{part_name(i, n)}", own, at, at + n))
+                    at += n
         if not jobs:
             return Compacted(0, before, kept)
-        store, _ = filesystem(root)
         try:
-            plan = spark.createDataFrame(jobs, "g string, key string, paths array<string>, rows array<long>").repartition(len(jobs))
+            for d in dirs:
+                store.create_dir(d.fresh, recursive=True)
+            plan = spark.createDataFrame(jobs, "target string, parts array<struct<path:string,start:long,rows:long>>, a long, b long").repartition(min(len(jobs), 10_000))
 
             def run(batches):
-                store, _ = filesystem(root)
+                own, _ = filesystem(root)
                 for batch in batches:
                     for job in batch.to_pylist():
-                        n = _rewrite(store, job["paths"], job["rows"], f"{stage}/{job['g']}/{job['key']}")
-                        yield pa.RecordBatch.from_arrays([pa.array([job["g"]]), pa.array([job["key"]]), pa.array([n], pa.int64())], names=["g", "key", "n"])
-
-            done = plan.mapInArrow(run, "g string, key string, n long").collect()  # all staged before anything is replaced
-            for r in done:
-                place, fresh = f"{table.path}/{r['g']}/{r['key']}", f"{stage}/{r['g']}/{r['key']}"
-                store.create_dir(f"{stage}/.old/{r['g']}", recursive=True)
-                store.move(place, f"{stage}/.old/{r['g']}/{r['key']}")
-                store.move(fresh, place)
-            return Compacted(len(done), before, kept + sum(r["n"] for r in done))
+                        _rewrite(own, [(p["path"], p["start"], p["rows"]) for p in job["parts"]], job["a"], job["b"], job["target"])
+                    yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+            plan.mapInArrow(run, "n long").collect()  # all staged before anything is replaced; a row for each task
+            swap(store, table.path, stage, dirs)
+            return Compacted(len(dirs), before, kept + len(jobs))
         finally:
-            if store.get_file_info(f"{table.path}/_tmp").type == pafs.FileType.Directory:
-                if store.get_file_info(stage).type == pafs.FileType.Directory:
-                    store.delete_dir(stage)
-                if not store.get_file_info(pafs.FileSelector(f"{table.path}/_tmp")):
-                    store.delete_dir(f"{table.path}/_tmp")
-
-
-def _rewrite(store: pafs.FileSystem, paths: list[str], rows: list[int], place: str) -> int:
-    """Streams parts into full ones at place; without rows one empty part stays. Returns the number of parts."""
-    store.delete_dir(place) if store.get_file_info(place).type == pafs.FileType.Directory else None  # of an attempt that was lost
-    store.create_dir(place, recursive=True)
-    full = [(p, n) for p, n in zip(paths, rows, strict=True) if n]
-    if not full:
-        store.copy_file(paths[-1], f"{place}/{part_name(0, 0)}")
-        return 1
-    schema, total, index = None, sum(n for _, n in full), 0
-    out, room, waiting = None, 0, []
-
-    def sized(left: int) -> int:
-        return min(ROWS_PER_PART, left)
-
-    left = total
-    for path, n in full:
+            clear(store, table.path, stage)
+
+
+def _rewrite(store: pafs.FileSystem, parts: list[tuple[str, int, int]], a: int, b: int, target: str) -> None:
+    """One part of rows a to b of a partition. Written under another name first, so that a task's second attempt does no harm."""
+    from uuid import uuid4
+
+    draft = f"{target}.{uuid4().hex}"
+    schema = None
+    for path, _, n in parts:
         file = pq.ParquetFile(path, filesystem=store)
         if file.metadata.num_rows != n:
             raise LayoutError(f"'{path}': its name says {n} rows, its footer {file.metadata.num_rows}")
         own = file.schema_arrow.remove_metadata()
-        if schema is None:
-            schema = own
-        elif set(own.names) != set(schema.names):
+        if schema is not None and set(own.names) != set(schema.names):
             raise LayoutError(f"'{path}': parts of one partition differ in their columns; cannot compact")
-        for batch in file.iter_batches(ROWS_PER_GROUP):
-            piece = pa.Table.from_batches([batch]).select(schema.names).cast(schema)
-            while len(piece):
-                if out is None:
-                    room = sized(left)
-                    out = pq.ParquetWriter(f"{place}/{part_name(index, room)}", schema, filesystem=store, compression="zstd", compression_level=1)
-                held = sum(map(len, waiting))
-                take = min(len(piece), room, ROWS_PER_GROUP - held)
-                waiting.append(piece.slice(0, take))
-                piece, room, left = piece.slice(take), room - take, left - take
-                if room == 0 or held + take == ROWS_PER_GROUP:
-                    out.write_table(pa.concat_tables(waiting), row_group_size=ROWS_PER_GROUP)
-                    waiting = []
-                if room == 0:
-                    out.close()
-                    out, index = None, index + 1
-    return index
+        schema = schema or own
+    if a == b:
+        store.copy_file(parts[-1][0], draft)
+    else:
+        reader = RowReader(store, parts, schema)
+        with pq.ParquetWriter(draft, schema, filesystem=store, compression="zstd", compression_level=1) as out:
+            for at in range(a, b, ROWS_PER_GROUP):
+                out.write_table(reader.read(at, min(at + ROWS_PER_GROUP, b)), row_group_size=ROWS_PER_GROUP)
+    store.move(draft, target)

@@ -1,8 +1,9 @@
 """Bulk writes into a column group: overwrite of the partitions in the input, or merge by key.
 
 Rows are range-partitioned by (partition, symbol, time) and sorted, so a large partition is written by many tasks and the files'
-order is the rows' order. Spark's Parquet writer stages them; row counts come from the footers, by one job; then files get
-their self-describing names in the table, the staged partitions first, so that readers see old partitions until each is swapped.
+order is the rows' order. Spark's Parquet writer stages them; row counts come from the footers, by one job, and must add up to
+the rows that were sorted; then files get their self-describing names, and directories are swapped (see swap.py): a write that
+fails leaves the table as it was. An input that may differ when it is computed again is staged once, before anything reads it.
 
 A group other than the index holds no keys. With align="key" (the default) its rows are placed by joining the input to the index keys of
 the touched partitions, so rows without input are NULL and input without an index row is an error; align="position" writes
@@ -12,10 +13,10 @@ the input sorted by its keys and leaves the correspondence to the caller.
 from __future__ import annotations
 
 from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,6 +25,7 @@ from ..plans.names import ROW
 from ..plans.names import Column as Out
 from ..sources.scan import _single, _uri, _zipped, quoted
 from .lock import next_transaction, write_lock
+from .swap import Move, clear, swap
 
 _KEY, _NEW, _SEQ, _ROW = "__partition", "__new", "__seq", "__row"
 WRITER = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.writer.version": "v1", "parquet.block.row.count.limit": str(ROWS_PER_GROUP), "maxRecordsPerFile": str(ROWS_PER_PART)}
@@ -84,11 +86,23 @@ def _partition_of(time: Column, kind: str, name: str) -> Column:
 
 
 def _write(df: DataFrame, root: str, table: Table, group: str, merge: bool, align: str, missing: str) -> int:
+    store, base = filesystem(root)
+    folder = f"{base.rstrip('/')}/{table.name}"
+    stage = f"{folder}/_tmp/transaction-{next_transaction()}"
+    try:
+        return _staged(df, root, table, group, merge, align, missing, store, folder, stage)
+    finally:
+        clear(store, folder, stage)
+
+
+def _staged(df: DataFrame, root: str, table: Table, group: str, merge: bool, align: str, missing: str, store: pafs.FileSystem, folder: str, stage: str) -> int:
     spark = df.sparkSession
     rows, schema, (symbol, time) = _projected(df, table, group, missing)
+    if not df._jdf.queryExecution().analyzed().deterministic():
+        rows.write.parquet(_uri(root, f"{stage}/input"))
+        rows = spark.read.schema(rows.schema).parquet(_uri(root, f"{stage}/input"))
     rows = rows.withColumn(_KEY, _partition_of(F.col(quoted(time)), table.kind, time))
     order = [F.col(_KEY), F.col(quoted(symbol)).asc_nulls_last(), F.col(quoted(time)).asc_nulls_last()]
-    keyed, known = group == INDEX or align == "key", table.group(group)
     touched: list[str] = []
     if merge or (group != INDEX and align == "key"):
         touched = [r[0] for r in rows.select(_KEY).distinct().collect()]  # partition names
@@ -101,18 +115,10 @@ def _write(df: DataFrame, root: str, table: Table, group: str, merge: bool, alig
     if group != INDEX and align == "key":
         rows = _on_index(spark, root, table, rows, touched, symbol, time, schema)
         order = [F.col(_KEY), F.col(_ROW)]
-    stage = f"_tmp/transaction-{next_transaction()}"
-    store, base = filesystem(root)
-    folder = f"{base.rstrip('/')}/{table.name}"
-    try:
-        target = _uri(root, f"{folder}/{stage}")
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(quoted(f.name)) for f in schema], _KEY).write.partitionBy(_KEY).options(**WRITER).parquet(target)
-        return _commit(spark, store, root, folder, stage, group, known)
-    finally:
-        if store.get_file_info(f"{folder}/{stage}").type == pafs.FileType.Directory:
-            store.delete_dir(f"{folder}/{stage}")
-        if store.get_file_info(f"{folder}/_tmp").type == pafs.FileType.Directory and not store.get_file_info(pafs.FileSelector(f"{folder}/_tmp")):
-            store.delete_dir(f"{folder}/_tmp")
+    sorted_rows, seen = rows.repartitionByRange(*order).sortWithinPartitions(*order), Observation()
+    observed = sorted_rows.select(*[F.col(quoted(f.name)) for f in schema], _KEY).observe(seen, F.count(F.lit(1)).alias("rows"))
+    observed.write.partitionBy(_KEY).options(**WRITER).parquet(_uri(root, f"{stage}/_sorted"))
+    return _commit(spark, store, root, folder, stage, group, seen.get["rows"])
 
 
 def _existing(spark, root: str, table: Table, group: str, keys: list[str]) -> DataFrame:
@@ -156,36 +162,31 @@ def _on_index(spark, root: str, table: Table, rows: DataFrame, touched: list[str
     return both.where(stray.isNull()).select(*[F.col(quoted(f.name)) for f in schema], _KEY, _ROW)
 
 
-def _commit(spark, store: pafs.FileSystem, root: str, folder: str, stage: str, group: str, known) -> int:
-    """Staged files to their places; each partition's directory is swapped whole."""
-    files = [i.path for i in store.get_file_info(pafs.FileSelector(f"{folder}/{stage}", recursive=True)) if i.path.endswith(".parquet") and "/part-" in i.path]
-    if not files:
-        return 0
-    counts = spark.read.parquet(*[_uri(root, f) for f in files]).groupBy(F.substring_index("_metadata.file_path", "/", -1).alias("f"), F.substring_index(F.substring_index("_metadata.file_path", "/", -2), "/", 1).alias("d")).count()
-    sizes = {(r["d"], r["f"]): r["count"] for r in counts.collect()}  # a row for each file
-    from urllib.parse import unquote
+def _commit(spark, store: pafs.FileSystem, root: str, folder: str, stage: str, group: str, received: int) -> int:
+    """Staged files to their places; each partition's directory is swapped whole. received: the rows that the files must hold."""
+    files = [i.path for i in store.get_file_info(pafs.FileSelector(f"{stage}/_sorted", recursive=True)) if i.path.endswith(".parquet") and "/part-" in i.path]
+    sizes: dict[tuple[str, str], int] = {}
+    if files:
+        counts = spark.read.parquet(*[_uri(root, f) for f in files]).groupBy(F.substring_index("_metadata.file_path", "/", -1).alias("f"), F.substring_index(F.substring_index("_metadata.file_path", "/", -2), "/", 1).alias("d")).count()
+        sizes = {(unquote(r["d"]), r["f"]): r["count"] for r in counts.collect()}  # a row for each file
 
     by_key: dict[str, list[tuple[str, int]]] = defaultdict(list)
     for f in sorted(files, key=_task_order):
         where, name = f.split("/")[-2:]
-        n = next((sizes[k] for k in ((where, name), (where.replace("%", "%25"), name)) if k in sizes), 0)
-        if n:
-            by_key[unquote(where).partition("=")[2]].append((f, n))
-
-    def swap(item: tuple[str, list[tuple[str, int]]]) -> int:
-        key, parts = item
-        fresh, place = f"{folder}/{stage}/_ready/{key}", f"{folder}/{group}/{key}"
+        by_key[unquote(where).partition("=")[2]].append((f, sizes.get((where, name), 0)))
+    written = sum(n for parts in by_key.values() for _, n in parts)
+    if written != received:
+        raise LayoutError(f"group '{group}': {received} rows were received, but the staged files hold {written}; nothing was changed")
+
+    moves = []
+    for key, parts in by_key.items():
+        fresh = f"{stage}/_ready/{key}"
         store.create_dir(fresh, recursive=True)
-        for i, (path, n) in enumerate(parts):
+        for i, (path, n) in enumerate((p, n) for p, n in parts if n):
             store.move(path, f"{fresh}/{part_name(i, n)}")
-        store.create_dir(place.rpartition("/")[0], recursive=True)
-        if store.get_file_info(place).type == pafs.FileType.Directory:
-            store.move(place, f"{folder}/{stage}/_ready/.old-{key}")
-        store.move(fresh, place)
-        return sum(n for _, n in parts)
-
-    with ThreadPoolExecutor(16) as pool:
-        return sum(pool.map(swap, by_key.items()))
+        moves.append(Move(fresh, f"{group}/{key}"))
+    swap(store, folder, stage, moves)
+    return written
 
 
 def _task_order(path: str) -> tuple[str, int, str]:

@@ -1,4 +1,4 @@
-"""The directory layout is the catalog: table / group / partition / part. Discovery and its checks; nothing here needs Spark.
+"""The directory layout is the catalog: table / group / partition / part. Discovery and its checks; Spark is only used for footers, where they are many.
 
     <root>/<table>/index/month=2026-07/0000-0000002000.parquet
     <root>/<table>/<lv1>/<lv2>/month=2026-07/0000-0000002000.parquet
@@ -11,11 +11,14 @@ from __future__ import annotations
 import calendar
 import datetime as dt
 import re
+from collections import OrderedDict
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
+from pyspark.sql import SparkSession
 from pyspark.sql.types import DateType, StringType, StructType, TimestampNTZType, TimestampType
 
 from ..functions.types import from_arrow
@@ -142,14 +145,15 @@ def group_name(name: str) -> str:
 
 
 def discover(root: str, name: str) -> Table:
-    """The plan of a table from one recursive listing and one footer for each partition and group."""
+    """The plan of a table from one recursive listing, and the footers of each partition's and group's last part that are new or have changed."""
     store, base = filesystem(root)
     path = f"{base.rstrip('/')}/{name}"
     if store.get_file_info(path).type != pafs.FileType.Directory:
         raise LayoutError(f"table '{name}' does not exist under '{root}'")
     groups: dict[str, Group] = {}
-    files = sorted(i.path for i in store.get_file_info(pafs.FileSelector(path, recursive=True)) if i.type == pafs.FileType.File)
-    for file in files:
+    listed = [i for i in store.get_file_info(pafs.FileSelector(path, recursive=True)) if i.type == pafs.FileType.File]
+    stamps = {i.path: (i.mtime_ns, i.size) for i in listed}
+    for file in sorted(stamps):
         steps = file[len(path) :].lstrip("/").split("/")
         if any(s[0] in "._" for s in steps) or not steps[-1].endswith(".parquet"):
             continue
@@ -186,24 +190,59 @@ def discover(root: str, name: str) -> Table:
         starts[k] = at
         at += index.rows(k)
     table = Table(name, path, [index, *(groups[n] for n in sorted(groups))], starts, at, kinds.pop())
+    lasts = {g.name: [g.partitions[k][-1] for k in sorted(g.partitions, reverse=True)] for g in table.groups}
+    found = footers(root, [p for parts in lasts.values() for p in parts], stamps)
     for g in table.groups:
-        g.schema = _schema(store, g)
+        g.schema = _schema(g, [found[p.path] for p in lasts[g.name]])
     check_keys(index.schema, reading=True)
     return table
 
 
-def _schema(store: pafs.FileSystem, group: Group) -> StructType:
+#: Schemas by root, path, time of change and size of a part, so that a scan opens only footers that are new; the oldest go first.
+_footers: OrderedDict[tuple, StructType] = OrderedDict()
+FOOTERS_KEPT, FOOTERS_BY_DRIVER = 200_000, 2_000
+
+
+def footers(root: str, parts: list[Part], stamps: dict[str, tuple]) -> dict[str, StructType]:
+    """Schemas of parts by path. Footers that aren't known yet are read by threads, or by tasks where they are many and there is a session."""
+    at = {p.path: (root, p.path, *stamps[p.path]) for p in parts}
+    new = [p for p in parts if at[p.path] not in _footers]
+    spark = SparkSession.getActiveSession() if len(new) > FOOTERS_BY_DRIVER else None
+    if spark is not None:
+
+        def run(batches):
+            store, _ = filesystem(root)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    schema = _footer(store, row["path"], row["rows"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([schema.serialize().to_pybytes()], pa.binary())], names=["path", "schema"])
+
+        frame = spark.createDataFrame([(p.path, p.rows) for p in new], "path string, rows long").repartition(max(1, min(len(new) // 100, 1000)))
+        read = {r["path"]: pa.ipc.read_schema(pa.py_buffer(bytes(r["schema"]))) for r in frame.mapInArrow(run, "path string, schema binary").collect()}  # a row for each footer
+    else:
+        store, _ = filesystem(root)
+        with ThreadPoolExecutor(16) as pool:
+            read = dict(zip((p.path for p in new), pool.map(lambda p: _footer(store, p.path, p.rows), new), strict=True))
+    for path, schema in read.items():
+        _footers[at[path]] = from_arrow(schema)
+    out = {}
+    for p in parts:
+        _footers.move_to_end(at[p.path])
+        out[p.path] = _footers[at[p.path]]
+    while len(_footers) > FOOTERS_KEPT:
+        _footers.popitem(last=False)
+    return out
+
+
+def _footer(store: pafs.FileSystem, path: str, rows: int) -> pa.Schema:
+    meta = pq.read_metadata(path, filesystem=store)
+    if meta.num_rows != rows:
+        raise LayoutError(f"'{path}': its name says {rows} rows, its footer {meta.num_rows}; they must agree")
+    return meta.schema.to_arrow_schema().remove_metadata()
+
+
+def _schema(group: Group, found: list[StructType]) -> StructType:
     """Columns of the last part, then those that only the last parts of earlier partitions have; one column, one type."""
-    last = [group.partitions[k][-1] for k in sorted(group.partitions, reverse=True)]
-
-    def read(part: Part) -> StructType:
-        meta = pq.read_metadata(part.path, filesystem=store)
-        if meta.num_rows != part.rows:
-            raise LayoutError(f"'{part.path}': its name says {part.rows} rows, its footer {meta.num_rows}; they must agree")
-        return from_arrow(meta.schema.to_arrow_schema())
-
-    with ThreadPoolExecutor(16) as pool:
-        found = list(pool.map(read, last))
     out: dict[str, object] = {}
     for schema in found:
         for f in schema:
@@ -219,5 +258,7 @@ def check_keys(schema: StructType, reading: bool = False) -> None:
     text, time = (isinstance(f.dataType, t) for f, t in zip(schema[:2], (StringType, (DateType, TimestampType, TimestampNTZType)), strict=True))
     if reading and not time:
         raise LayoutError(f"the second column must be DATE or TIMESTAMP, not {schema[1].dataType.simpleString()}")
+    if not reading and isinstance(schema[1].dataType, TimestampType):
+        raise LayoutError("a key of instants has no day of its own; use TIMESTAMP (without time zone)")
     if not (text and time):
         raise LayoutError("the first two columns must be exactly one VARCHAR (first) and one DATE or TIMESTAMP (second)")

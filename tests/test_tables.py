@@ -138,6 +138,82 @@ def test_writer_settings_and_many_parts(lake, monkeypatch):
     assert [r[0] for r in flat] == sorted(r[0] for r in flat) and [r[1] for r in flat] == list(range(300000))
 
 
+class Failing:
+    """A store whose n-th move out of a path with some name fails."""
+
+    def __init__(self, store, n, part):
+        self.store, self.left, self.part = store, n, part
+
+    def __getattr__(self, name):
+        return getattr(self.store, name)
+
+    def move(self, a, b):
+        if self.part in a:
+            self.left -= 1
+            if self.left == 0:
+                raise OSError("lost")
+        self.store.move(a, b)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+@pytest.mark.parametrize("what", ["write", "merge", "compact"])
+def test_failed_swaps_lose_no_rows(lake, monkeypatch, what, n):
+    from strandlake.operators import manage
+    from strandlake.operators import write as writing
+
+    lake.create("t", "index", "symbol VARCHAR, date DATE, v BIGINT")
+    days = "SELECT concat('s', x % 3) symbol, date_add(DATE '2026-01-01', x) date, CAST(x AS BIGINT) v FROM (SELECT explode(sequence(0, 89)) x)"
+    lake.write(sql(lake, days), "t")
+    if what == "compact":
+        for month, rows in (("2026-01", 31), ("2026-02", 28), ("2026-03", 31)):
+            put(__import__("pathlib").Path(lake.root) / "t", "index", f"month={month}", "0001-0000000001.parquet", [("symbol", pa.string(), ["z"]), ("date", pa.date32(), [dt.date.fromisoformat(f"{month}-20")]), ("v", pa.int64(), [1])])
+    before = sorted(map(str, lake.scan("t").collect()))
+    module = manage if what == "compact" else writing
+    real = module.swap
+    monkeypatch.setattr(module, "swap", lambda store, *args: real(Failing(store, n, "/_ready/"), *args))
+    with pytest.raises(OSError, match="lost"):
+        lake.compact("t") if what == "compact" else lake.write(sql(lake, days).withColumn("v", F.col("v") + 1), "t", merge=what == "merge")
+    monkeypatch.undo()
+    assert sorted(map(str, lake.scan("t").collect())) == before
+    assert not list(__import__("pathlib").Path(lake.root, "t").glob("_tmp"))
+
+
+def test_next_writer_recovers_a_lost_one(lake):
+    lake.create("t", "index", "symbol VARCHAR, date DATE, v BIGINT")
+    lake.write(sql(lake, "SELECT * FROM VALUES ('a', DATE '2026-01-01', 1L), ('b', DATE '2026-02-01', 2L) t(symbol, date, v)"), "t")
+    root = __import__("pathlib").Path(lake.root, "t")
+    # As a driver leaves it that dies between the two moves of a partition.
+    (root / "_tmp/transaction-7/_old/index").mkdir(parents=True)
+    (root / "index/month=2026-01").rename(root / "_tmp/transaction-7/_old/index/month=2026-01")
+    assert lake.scan("t").count() == 1
+    lake.write(sql(lake, "SELECT 'c' symbol, DATE '2026-03-01' date, 3L v"), "t")
+    assert sorted(one(lake, "t", ["symbol", "v"])) == [("a", 1), ("b", 2), ("c", 3)] and not (root / "_tmp").exists()
+
+
+def test_rows_are_accounted_for(lake, monkeypatch):
+    from strandlake.operators import write as writing
+
+    lake.create("t", "index", "symbol VARCHAR, date DATE, v BIGINT")
+    rows = "SELECT * FROM VALUES ('a', DATE '2026-01-01', 1L), ('b', DATE '2026-02-01', 2L) t(symbol, date, v)"
+    lake.write(sql(lake, rows), "t")
+    # Files that don't hold what was sorted stop the write; the table stays as it was.
+    monkeypatch.setattr(writing, "_commit", lambda spark, store, root, folder, stage, group, received, own=writing._commit: own(spark, store, root, folder, stage, group, received + 1))
+    with pytest.raises(LayoutError, match="rows were received"):
+        lake.write(sql(lake, rows).withColumn("v", F.col("v") * 10), "t")
+    monkeypatch.undo()
+    assert sorted(one(lake, "t", ["symbol", "v"])) == [("a", 1), ("b", 2)]
+    # An input that differs each time it is computed is written as it was seen once.
+    random = lake.spark.range(300).selectExpr("CAST(rand() AS STRING) symbol", "date_add(DATE '2026-01-01', CAST(rand() * 80 AS INT)) date", "id v")
+    assert lake.write(random, "t") == 300 and sorted(r[0] for r in one(lake, "t", ["v"])) == list(range(300))
+
+
+def test_keys_of_instants_are_refused(lake):
+    from pyspark.sql.types import StructType
+
+    with pytest.raises(LayoutError, match="without time zone"):
+        lake.create_table("t", StructType.fromDDL("symbol string, at timestamp, v long"))
+
+
 def test_compact(lake):
     base = lambda g, n, rows: put(__import__("pathlib").Path(lake.root) / "c", g, "month=2026-07", f"{n:04d}-{len(rows):010d}.parquet", ([("symbol", pa.string(), [f"{r:05d}" for r in rows]), ("date", pa.date32(), [dt.date(2026, 7, 1)] * len(rows)), ("v", pa.int64(), list(rows))] if g == "index" else [("alpha001", pa.float64(), [r * 1.0 if r % 5 == 0 else None for r in rows])]))
     for g in ("index", "factor/alpha"):
@@ -184,6 +260,17 @@ def test_catalog(lake):
     assert [tuple(r) for r in al.sql("SELECT rowid, month, alpha FROM al.t1 ORDER BY rowid").collect()] == [(0, "2026-01", 5.0), (1, "2026-02", None)]
     assert "x/y" not in al.sql("SELECT sum(close) FROM al.t1")._jdf.queryExecution().toString()
     assert al.sql("SELECT a.sym FROM al.t1 a JOIN al.t1 b ON a.sym = b.sym AND b.alpha = 5").count() == 1
+    # Computed columns and a table named twice still prune; a command is refused before it runs.
+    for text in ("SELECT sum(close * 2) s FROM al.t1", "SELECT sum(close) s FROM al.t1 WHERE month BETWEEN '2026-01' AND '2026-01' UNION ALL SELECT max(close) FROM al.t1 WHERE month = '2026-01'"):
+        files = al.sql(text).inputFiles()
+        assert files and not any("x/y" in f for f in files)
+    assert len(files) <= 2 and all("month=2026-01" in f for f in files)
+    assert [tuple(r) for r in al.sql("SELECT sym, (SELECT max(alpha) FROM al.t1 WHERE sym = 'a') m FROM al.t1 WHERE sym IN (SELECT sym FROM al.t1 WHERE close > 1)").collect()] == [("b", 5.0)]
+    for text in ("CREATE TABLE copied AS SELECT sym FROM al.t1", "INSERT INTO al.t1 SELECT 'c', DATE '2026-01-01', 3D, 1D", "WITH a AS (SELECT 1) INSERT INTO al.t1 SELECT * FROM a", "DELETE FROM al.t1", "DROP TABLE al.t1"):
+        with pytest.raises(NotImplementedError):
+            al.sql(text)
+    assert not lake.spark.catalog.tableExists("copied")
+    assert [r.col_name for r in al.sql("DESCRIBE al.t1").collect()] == ["sym", "date", "close", "alpha"]
     lake.create("t2", "index", "s VARCHAR, d DATE")  # later than the first look
     assert al.table("t2").count() == 0
     al.create_table("t2", "s VARCHAR, d DATE", partition="month=2027-01")
