@@ -262,6 +262,140 @@ def scalar_functions(spark, sf_dir):
     return al.sql("SELECT split_part(o_orderpriority, '-', 2) AS word, replace(o_orderstatus, 'F', 'x') AS status, dayofweek(date) - 1 AS dow, count(*) AS n FROM al.ord WHERE o_orderstatus IS NOT NULL GROUP BY 1, 2, 3")
 
 
+# Host operators and functions over catalog tables.
+
+
+def _sql(spark, sf_dir, text: str) -> DataFrame:
+    return _ord(spark, sf_dir).attach("al").sql(text)
+
+
+@query(f"SELECT a.o_orderstatus AS status, b.o_orderpriority AS priority FROM (SELECT DISTINCT o_orderstatus FROM ({_O})) a CROSS JOIN (SELECT DISTINCT o_orderpriority FROM ({_O})) b")
+def cross_join(spark, sf_dir):
+    return _sql(spark, sf_dir, "SELECT a.o_orderstatus AS status, b.o_orderpriority AS priority FROM (SELECT DISTINCT o_orderstatus FROM al.ord) a CROSS JOIN (SELECT DISTINCT o_orderpriority FROM al.ord) b")
+
+
+@query(f"SELECT sym, date, o_totalprice, o_orderstatus FROM ({_O}) WHERE o_totalprice > 250000 AND o_orderstatus = 'F'")
+def three_way_join_on_rowid(spark, sf_dir):
+    lake = _ord(spark, sf_dir)
+    keys, price = lake.scan("ord", columns=["rowid", "sym", "date"]), lake.scan("ord", columns=["rowid", "o_totalprice"], where="o_totalprice > 250000")
+    status = lake.scan("ord", columns=["rowid", "o_orderstatus"], where="o_orderstatus = 'F'")
+    return keys.join(price, "rowid").join(status, "rowid").drop("rowid")
+
+
+@query("SELECT * FROM (VALUES ('sym', 'string'), ('date', 'timestamp_ntz'), ('o_custkey', 'bigint'), ('o_totalprice', 'double'), ('o_orderstatus', 'string'), ('o_orderpriority', 'string')) t(col_name, data_type)")
+def describe_table(spark, sf_dir):
+    return _sql(spark, sf_dir, "DESCRIBE al.ord").select("col_name", "data_type")
+
+
+@query(f"SELECT v.name, t.wanted, count(*) AS n FROM ({_O}) o JOIN (VALUES ('F', 'filled'), ('O', 'open')) v(code, name) ON o.o_orderstatus = v.code JOIN (VALUES ('filled', 1), ('open', 2), ('other', 3)) t(name, wanted) ON t.name = v.name GROUP BY ALL")
+def values_and_temporary_table(spark, sf_dir):
+    spark.createDataFrame([("filled", 1), ("open", 2), ("other", 3)], "name string, wanted int").createOrReplaceTempView("strandlake_wanted")
+    return _sql(spark, sf_dir, "SELECT v.name, t.wanted, count(*) AS n FROM al.ord o JOIN (VALUES ('F', 'filled'), ('O', 'open')) v(code, name) ON o.o_orderstatus = v.code JOIN strandlake_wanted t ON t.name = v.name GROUP BY v.name, t.wanted")
+
+
+@query(f"SELECT month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM ({_O}) GROUP BY month")
+def native_partitioned_write(spark, sf_dir):
+    """The same rows as plain hive-partitioned Parquet, which Spark writes and reads itself: the baseline of writes."""
+    lake = _ord(spark, sf_dir)
+    path = f"{lake.root}/.native"
+    _orders(spark, sf_dir).select("sym", "date", "o_totalprice", F.date_format("date", "yyyy-MM").alias("month")).write.mode("overwrite").partitionBy("month").parquet(path)
+    read = spark.read.schema("sym string, date timestamp_ntz, o_totalprice double, month string").parquet(path)
+    return read.groupBy("month").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(f"SELECT sym, (o_custkey % 7) || '/' || o_orderstatus AS label, printf('%08d-%s', o_custkey, o_orderstatus) AS code, lpad(CAST(o_custkey % 1000 AS VARCHAR), 5, '0') AS padded FROM ({_O})")
+def text_functions(spark, sf_dir):
+    return _sql(spark, sf_dir, "SELECT sym, (o_custkey % 7) || '/' || o_orderstatus AS label, printf('%08d-%s', o_custkey, o_orderstatus) AS code, lpad(CAST(o_custkey % 1000 AS STRING), 5, '0') AS padded FROM al.ord")
+
+
+@query(f"SELECT sym, CAST(date AS DATE) AS day, CAST(CAST(date AS DATE) + CAST(o_custkey % 5 AS INTEGER) * INTERVAL 1 DAY AS DATE) AS later, CAST(date - INTERVAL 2 MONTH AS DATE) AS earlier, strftime(date, '%Y/%m/%d') AS shown, CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) AS price FROM ({_O})")
+def dates_and_casts(spark, sf_dir):
+    return _sql(spark, sf_dir, "SELECT sym, CAST(date AS DATE) AS day, CAST(CAST(date AS DATE) + CAST(o_custkey % 5 AS INT) * INTERVAL '1' DAY AS DATE) AS later, CAST(date - INTERVAL '2' MONTH AS DATE) AS earlier, date_format(date, 'yyyy/MM/dd') AS shown, CAST(CAST(round(o_totalprice) AS BIGINT) AS STRING) AS price FROM al.ord")
+
+
+@query(f"SELECT o_custkey // 100 AS bin, CAST(floor(avg(o_totalprice)) AS BIGINT) AS mean, round(max(o_totalprice), 1) AS most, count(*) AS n, count(*) AS in_range FROM ({_O}) WHERE o_orderstatus IN ('F', 'P') GROUP BY 1")
+def numbers_and_membership(spark, sf_dir):
+    return _sql(spark, sf_dir, "SELECT o_custkey div 100 AS bin, CAST(floor(avg(o_totalprice)) AS BIGINT) AS mean, round(max(o_totalprice), 1) AS most, count(*) AS n, count_if(r BETWEEN 0 AND 1) AS in_range FROM (SELECT *, rand() AS r FROM al.ord) WHERE o_orderstatus IN ('F', 'P') GROUP BY 1")
+
+
+@query(f"WITH years AS (SELECT CAST(y AS BIGINT) AS y FROM generate_series(1992, 1999) t(y)) SELECT y, part, (SELECT count(*) FROM ({_O}) WHERE year(date) = y) AS n FROM years, unnest(['a', 'b']) u(part)")
+def series_and_unnest(spark, sf_dir):
+    text = "WITH years AS (SELECT id AS y FROM range(1992, 2000)), by_year AS (SELECT year(date) AS y, count(*) AS n FROM al.ord GROUP BY 1) SELECT years.y, part, coalesce(n, 0) AS n FROM years CROSS JOIN (SELECT explode(array('a', 'b')) AS part) LEFT JOIN by_year ON years.y = by_year.y"
+    return _sql(spark, sf_dir, text)
+
+
+@query(f"SELECT o_orderpriority AS priority, array_to_string(ARRAY(SELECT DISTINCT o_orderstatus FROM ({_O}) ORDER BY 1), ',') AS statuses, count(*) AS n FROM ({_O}) GROUP BY 1")
+def array_subquery(spark, sf_dir):
+    return _sql(spark, sf_dir, "SELECT o_orderpriority AS priority, array_join((SELECT array_sort(collect_set(o_orderstatus)) FROM al.ord), ',') AS statuses, count(*) AS n FROM al.ord GROUP BY 1")
+
+
+@query("SELECT 'strandlake.data_root' AS name, '/some/lake' AS value")
+def setting(spark, sf_dir):
+    from .functions.tables import current_setting
+
+    before = spark.conf.get(ROOT_SETTING, None)
+    spark.conf.set(ROOT_SETTING, "/some/lake")
+    try:
+        return spark.range(1).select(F.lit(ROOT_SETTING).alias("name"), current_setting(spark, ROOT_SETTING).alias("value"))
+    finally:
+        spark.conf.unset(ROOT_SETTING) if before is None else spark.conf.set(ROOT_SETTING, before)
+
+
+@query(f"SELECT group_name, columns, total_rows FROM (SELECT 'price/base' AS group_name, 'o_totalprice' AS columns UNION ALL SELECT 'tag/status', 'o_orderstatus;o_orderpriority'), (SELECT count(*) AS total_rows FROM ({_O}))")
+def table_functions(spark, sf_dir):
+    from .functions.tables import register
+
+    lake = _ord(spark, sf_dir)
+    register(spark)
+    return spark.sql(f"SELECT group_name, columns, total_rows FROM lake_groups('{lake.root}', 'ord') CROSS JOIN lake_meta('{lake.root}', 'ord') WHERE group_name <> 'index'")
+
+
+# Management, each with what the table is afterwards.
+
+
+def _build_managed(lake: Lake, sf_dir: str) -> None:
+    o = _orders(lake.spark, sf_dir)
+    al = lake.attach("al")
+    al.create_table("g", "sym VARCHAR, date TIMESTAMP, o_custkey BIGINT, o_totalprice DOUBLE", groups="price/base:o_totalprice", today=lambda: TODAY)
+    lake.write(o.select("sym", "date", "o_custkey"), "g")
+    lake.write(o.select("sym", "date", "o_totalprice"), "g", "price/base")
+    lake.write(o.where("o_orderstatus = 'F'").select("sym", "date", (F.col("o_totalprice") * 2).alias("o_totalprice")), "g", "price/base", merge=True)
+    al.create_table("g", "sym VARCHAR, date TIMESTAMP, note VARCHAR, gone BIGINT", groups="note/text:note;note/gone:gone")
+    lake.write(o.where("o_custkey % 3 = 0").select("sym", "date", F.col("o_orderpriority").alias("note")), "g", "note/text", merge=True)
+    lake.create("g", "empty/group")
+    lake.drop("g", "note/gone")
+
+
+def _managed(spark, sf_dir) -> Lake:
+    return _lake(spark, sf_dir, "managed", _build_managed)
+
+
+@query(f"SELECT sym, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM ({_O})")
+def merge_into_group(spark, sf_dir):
+    return _managed(spark, sf_dir).scan("g", columns=["sym", "o_totalprice"])
+
+
+@query(f"SELECT sym, CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority END AS note FROM ({_O})")
+def extended_by_ddl(spark, sf_dir):
+    return _managed(spark, sf_dir).attach("al").table("g", columns=["sym", "note"])
+
+
+@query("SELECT * FROM (VALUES ('index', 'sym;date;o_custkey'), ('note/text', 'note'), ('price/base', 'o_totalprice')) t(group_name, columns)")
+def groups_after_drop_and_empty_group(spark, sf_dir):
+    return _managed(spark, sf_dir).groups("g").select("group_name", "columns")
+
+
+@query(f"SELECT count(*) AS n, count(DISTINCT month) AS months FROM ({_O})")
+def zero_column_scan(spark, sf_dir):
+    """Opens no file: row counts and partitions stand in the part names."""
+    return _sql(spark, sf_dir, "SELECT count(*) AS n, count(DISTINCT month) AS months FROM al.ord")
+
+
+@query(f"SELECT sym, o_totalprice FROM ({_O}) WHERE date BETWEEN TIMESTAMP '1994-02-01' AND TIMESTAMP '1994-02-28' AND o_totalprice >= 150000 AND o_custkey < 5000")
+def prune_between(spark, sf_dir):
+    return _ord(spark, sf_dir).scan("ord", columns=["sym", "o_totalprice"], where="date BETWEEN TIMESTAMP_NTZ '1994-02-01' AND TIMESTAMP_NTZ '1994-03-01' - INTERVAL 1 DAY AND o_totalprice >= 150000 AND o_custkey < 5000")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
