@@ -14,7 +14,7 @@ from .near_duplicates import near_duplicates
 from .pitman_yor import score_documents
 from .quality_classifier import GOOD, score_quality
 from .quality_rules import quality_rules
-from .secret_scan import secret_scan
+from .secret_scan import Ledger
 from .token_count import count_tokens
 from .token_store import read_store, write_store
 from .toxicity import score_toxicity
@@ -37,7 +37,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    found = Ledger(spark, shared_dir(spark)).scan(versions)
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 

@@ -2,23 +2,25 @@
 
 Every version of every path is addressed by the SHA-256 of its text. Only pairs of a blob and a rule version that the ledger
 lacks are scanned, each blob once however many paths hold it; findings then join back to all paths. Of the table of
-(path, blob) rows, one path for each new blob is chosen by a partial minimum; only those texts move, through one hash join on
-path and blob. A blob held by a third of all paths is one scan, and its join back is one that AQE may split.
+(path, blob) rows, one path for each new blob is chosen by a partial minimum. The first scan of a corpus, to which every blob is new, joins
+texts to them by a shuffle on path and blob; later ones broadcast the new blobs, up to BROADCAST_BLOBS, and no text moves. A blob held by a third of
+all paths is one scan; findings join back by a broadcast, or where there are too many by a join that AQE can split.
 
 Built-in functions only: the places of a rule's matches come from the lengths of the pieces between them and of the matches.
 
 Defined results: a null text is the empty text; a null path is a path like others; equal rows give equal result rows;
-an empty table gives an empty result; extra columns are ignored.
+an empty table gives an empty result; extra columns are ignored. Spans take time in proportion to a text's matches.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, small, written
 
 
 class Rule(NamedTuple):
@@ -46,6 +48,26 @@ RULES = (
     Rule("forge", 1, r"gh[opsur]_[A-Za-z0-9]{36,}", 0, 40, False),
 )
 SPANS = "array<struct<start:int,end:int>>"
+#: Rows (of new blobs, of blobs with findings) up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_BLOBS = 50_000
+
+
+#: Elements that are summed one by one; an array has so many blocks of as many, or more blocks.
+BLOCK = 128
+
+
+def sums_before(values: Column) -> Column:
+    """For each element the sum of those before it. Appending copies what is there, so it goes by blocks: BLOCK copies an element."""
+
+    def one_by_one(x: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.array().cast("array<int>").alias("sums"))
+        return F.aggregate(x, none, lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["sums"], F.array(acc["at"])).alias("sums")))["sums"]
+
+    def by_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda t, v: t + v))
+        return let(one_by_one(totals, F.lit(0)), lambda before: F.flatten(F.transform(blocks, lambda x, i: one_by_one(x, F.get(before, i)))))
+
+    return let(F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda i: F.slice(values, i * BLOCK + 1, BLOCK)), by_blocks)
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -53,13 +75,9 @@ def spans_of(text: Column, rule: Rule) -> Column:
     pattern = F.lit(rule.pattern)
 
     def placed(gaps: Column, hits: Column, sizes: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        walk = F.aggregate(
-            F.sequence(F.lit(0), F.size(hits) - 1),
-            start,
-            lambda acc, i: F.struct((acc["at"] + F.get(gaps, i) + F.get(hits, i)).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + F.get(gaps, i))).alias("starts")),
-        )
-        found = F.transform(walk["starts"], lambda s, i: F.struct(s.alias("start"), (s + F.get(hits, i)).alias("end"), F.get(sizes, i).alias("n")))
+        steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: g + h)
+        starts = F.zip_with(sums_before(steps), gaps, lambda b, g: b + g)
+        found = F.transform(F.slice(starts, 1, F.size(hits)), lambda s, i: F.struct(s.alias("start"), (s + F.get(hits, i)).alias("end"), F.get(sizes, i).alias("n")))
         return F.transform(F.filter(found, lambda x: x["n"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
     lengths = lambda c: F.transform(c, lambda x: F.length(x))
@@ -68,8 +86,33 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(SPANS))
 
 
+LEDGER = f"blob string, rule string, spans {SPANS}"
+
+
 def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], f"blob string, rule string, spans {SPANS}")
+    return spark.createDataFrame([], LEDGER)
+
+
+class Ledger:
+    """The ledger as Parquet files in a folder that all machines share: a row for each blob and rule version that was scanned."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(LEDGER).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return empty_ledger(self.spark)
+
+    def scan(self, versions: DataFrame, rules: tuple = RULES) -> DataFrame:
+        """findings() of all versions; what the ledger lacked is scanned and appended to it."""
+        known = self.rows()
+        new, paths = scan_versions(versions, None if known.isEmpty() else known, rules)
+        new.write.mode("append").parquet(self.path)
+        return findings(self.rows(), paths, rules)
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple = RULES) -> tuple[DataFrame, DataFrame]:
@@ -84,8 +127,9 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     else:
         known = ledger.groupBy("blob").agg(F.collect_set("rule").alias("known"))  # as many as there are rule versions
         lacking = chosen.join(known, "blob", "left").withColumn("lacks", F.array_except(ids, F.coalesce("known", F.array().cast("array<string>")))).where(F.size("lacks") > 0).drop("known")
+        lacking = small(written(lacking), BROADCAST_BLOBS)
     texts = versions.select(name.alias("name"), F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
-    picked = texts.join(lacking.hint("shuffle_hash"), ["name", "blob"])
+    picked = texts.join(lacking.hint("shuffle_hash") if ledger is None else lacking, ["name", "blob"])
     each = F.array(*[F.struct(F.lit(r.id).alias("rule"), F.when(F.array_contains("lacks", r.id), spans_of(F.col("text"), r)).alias("spans")) for r in rules])
     scanned = picked.select("blob", F.explode(each).alias("x")).where("x.spans is not null").select("blob", "x.rule", "x.spans")
     return scanned.dropDuplicates(["blob", "rule"]), paths.select("path", "blob")
@@ -107,11 +151,12 @@ def findings(ledger: DataFrame, paths: DataFrame, rules: tuple = RULES) -> DataF
     by_blob = rows.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("s"))  # a row for each rule version
     base = F.filter("s", lambda x: x["base"])
     by_blob = by_blob.select("blob", *[of_kind(r.kind) for r in rules if r.base], joined(base).alias("base_spans"), joined(F.col("s")).alias("spans"))
-    out = paths.join(by_blob, "blob", "left")
+    # Written, so that no aggregate stands below the join and a blob of very many paths can be split.
+    out = paths.join(small(written(by_blob), BROADCAST_BLOBS), "blob", "left")
     return out.select("path", *[F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in rules if r.base], F.coalesce("base_spans", F.lit("")).alias("base_spans"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
 def secret_scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple = RULES) -> DataFrame:
-    """findings() of all versions, given a ledger of earlier scans. Save scan_versions()'s rows to carry the ledger on."""
+    """findings() of all versions, given a ledger of earlier scans; Ledger.scan() also carries the ledger on."""
     new, paths = scan_versions(versions, ledger, rules)
     return findings(new if ledger is None else ledger.unionByName(new), paths, rules)
