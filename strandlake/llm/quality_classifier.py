@@ -1,19 +1,21 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
 Each word has a sparse ternary index vector, drawn from its hash. A term's context vector is the sum of the index vectors of the
-words within SPAN places of all its occurrences in all documents. There are two kinds of terms, each with a vector of its own: the word, and the
-ending of the word with that of the one before it (two bytes each, and whether both words are equal). A document's vector
-is the mean of its terms' unit-length context vectors of each kind, with the logarithm of its length. A network with one hidden
-layer of tanh units is trained on it in numpy, and its logits are divided by a temperature fitted on labelled rows that training leaves out.
+words within SPAN places of its occurrences. There are two kinds of terms: the word, and the ending of the word with that of the
+one before it (two bytes each, and whether both words are equal). A document's vector is the mean of its terms' unit-length context
+vectors of each kind, with the logarithm of its length. A network with one hidden layer of tanh units is trained on it in numpy, and its
+logits are divided by a temperature fitted on labelled rows that training leaves out.
 
-Context vectors cover all documents and all terms: sums of whole numbers, added up in each task for some GATHER rows at a time and then by term.
-Those of the HEAD most frequent terms are broadcast and summed by document in the map; all others are joined by term, and what
-they give is summed by text. Equal texts have one vector. Labels are learnt from a bounded sample (SAMPLE rows at most, by hash), of which
-only the vectors reach the driver. Texts are shuffled only where they are carried.
+Every term has a vector of its own; none is shared. All terms of all documents are counted. The vocabulary is of the most frequent ones, as
+many as VOCABULARY and all of one count or none: their vectors sum up all occurrences in all documents. Any other term's vector sums up its
+occurrences in the document that is scored, which for a term that stands in one document is the same. Sums are of whole numbers, so they do
+not depend on how the rows are dealt. The vocabulary's vectors are broadcast (VOCABULARY x DIMENSIONS floats at most); no text moves.
+
+Labels are learnt from a bounded sample: SAMPLE ids at most, by hash, and one row of each; only their vectors reach the driver.
 
 Defined results: null or wordless texts have a zero vector and get its score; ids may be null or repeat, each row is scored by
 itself; without labels of both classes every score is the smoothed prior; an empty table gives an empty result; extra columns are
-ignored by score_quality.
+ignored by score_quality, but for those in carry, which come through unchanged unless one has the score's name: the score takes its place.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -33,10 +36,10 @@ from .decontaminate import chunks, mixed, text_bytes, word_hashes
 #: Bound on the labelled rows.
 SAMPLE = 8000
 DIMENSIONS, NONZERO, SPAN = 32, 4, 2
-#: Terms whose vectors are broadcast; rows that a task adds up at once.
-HEAD, GATHER = 1 << 18, 300_000
-#: The columns that stand for a text.
-KEY = ("_text_a", "_text_b")
+#: Terms whose vectors are of the whole corpus, and how many of them share a row on their way.
+VOCABULARY, BLOCK = 1 << 17, 64
+#: Words that a task counts at once, and bytes of text whose words are looked at together.
+GATHER, CHUNK_BYTES = 2_000_000, 1 << 20
 HIDDEN, EPOCHS, RATE = 32, 60, 3e-3
 #: Least score of a document that counts as good.
 GOOD = 0.7
@@ -59,172 +62,171 @@ def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return words, words, mixed(endings + np.uint64(1)), bounds
 
 
-def add_contexts(total: np.ndarray, words: np.ndarray, kinds: tuple[np.ndarray, ...], bounds: np.ndarray) -> None:
-    """Adds the index vectors of neighbours to the rows of total (flat) that the terms name."""
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+def neighbours(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each place, the sum of the index vectors of the words within SPAN places in its text: DIMENSIONS whole numbers."""
+    index, at = np.zeros((len(words), DIMENSIONS), np.int8), np.arange(len(words))
     h = mixed(words)
-    places, signs = [], []
     for i in range(NONZERO):
         part = h >> np.uint64(12 * i)
-        places.append((part % np.uint64(DIMENSIONS)).astype(np.int64))
-        signs.append(np.where(part >> np.uint64(10) & np.uint64(1), 1.0, -1.0))
+        index[at, (part % np.uint64(DIMENSIONS)).astype(np.int64)] += np.where(part >> np.uint64(10) & np.uint64(1), 1, -1).astype(np.int8)
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    out = np.zeros_like(index)  # at most 2 SPAN NONZERO
     for d in range(1, SPAN + 1):
-        near = np.flatnonzero(doc[d:] == doc[:-d])
-        for to, of in ((near, near + d), (near + d, near)):
-            for term in kinds:
-                row = term[to] * DIMENSIONS
-                for p, s in zip(places, signs, strict=True):
-                    total += np.bincount(row + p[of], s[of], len(total))
-
-
-def packed(sums: np.ndarray) -> list[bytes]:
-    """Rows of whole numbers: a byte each where that holds them, else four."""
-    narrow = np.abs(sums).max(axis=1, initial=0) <= 127
-    out, small, wide = np.empty(len(sums), object), sums[narrow].astype(np.int8), sums[~narrow].astype(np.int32)
-    out[narrow] = [r.tobytes() for r in small]
-    out[~narrow] = [r.tobytes() for r in wide]
-    return out.tolist()
-
-
-def unpacked(rows: list[bytes]) -> np.ndarray:
-    out, narrow = np.zeros((len(rows), DIMENSIONS), np.int32), np.array([len(r) == DIMENSIONS for r in rows], bool)
-    out[narrow] = np.frombuffer(b"".join(r for r in rows if len(r) == DIMENSIONS), np.int8).reshape(-1, DIMENSIONS)
-    out[~narrow] = np.frombuffer(b"".join(r for r in rows if len(r) != DIMENSIONS), np.int32).reshape(-1, DIMENSIONS)
+        near = (doc[d:] == doc[:-d]).astype(np.int8)[:, None]
+        out[:-d] += index[d:] * near
+        out[d:] += index[:-d] * near
     return out
 
 
+def summed(keys: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, how often each stands, and the sums of their vectors."""
+    order = np.argsort(keys, kind="stable")
+    own, first = np.unique(keys[order], return_index=True)
+    sums = np.add.reduceat(vectors[order], first, axis=0, dtype=np.int64) if len(own) else np.zeros((0, DIMENSIONS), np.int64)
+    return own, np.diff(np.append(first, len(keys))), sums
+
+
 def unit(sums: np.ndarray) -> np.ndarray:
     x = sums.astype(np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
 
 
-def summed(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their rows."""
-    order = np.argsort(keys, kind="stable")
-    own, first = np.unique(keys[order], return_index=True)
-    return own, np.add.reduceat(n[order], first), np.add.reduceat(sums[order], first, axis=0)
+def places_in(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Index of each key in sorted known ones, or their number."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64)
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    return np.where(known[at] == keys, at, len(known))
 
 
-def context_vectors(docs: DataFrame) -> DataFrame:
-    """A row for each term: term, n (its occurrences), v (packed)."""
-    schema = StructType.fromDDL("term long, n long, v binary")
+def batch_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
+    for batch in batches:
+        for a, b in chunks(texts := batch.column("text").to_pylist(), CHUNK_BYTES):
+            yield texts[a:b]
 
-    def rows(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(packed(sums), pa.binary())], schema=to_arrow_schema(schema))
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def vocabulary_of(docs: DataFrame, most: int) -> np.ndarray:
+    """Sorted hashes of the terms that stand n times or more, for the least n from 2 on that at most `most` terms reach."""
+    schema = StructType.fromDDL("term long, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, waiting = [], 0
-        for batch in batches:
-            for a, b in chunks(texts := batch.column("text").to_pylist()):
-                words, *kinds, bounds = terms(texts[a:b])
-                for kind in kinds:
-                    own, at, n = np.unique(kind.view(np.int64), return_inverse=True, return_counts=True)
-                    total = np.zeros(len(own) * DIMENSIONS)
-                    if len(own):
-                        add_contexts(total, words, (at,), bounds)
-                        parts.append((own, n, total.reshape(-1, DIMENSIONS).astype(np.int32)))
-                        waiting += len(own)
-                if waiting >= GATHER:
-                    yield rows(*summed(*(np.concatenate(x) for x in zip(*parts, strict=True))))
-                    parts, waiting = [], 0
+
+        def counted() -> pa.RecordBatch:
+            own, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], schema=to_arrow_schema(schema))
+
+        for texts in batch_texts(batches):
+            _, *kinds, _ = terms(texts)
+            parts += kinds
+            waiting += len(kinds[0])
+            if waiting >= GATHER:
+                yield counted()
+                parts, waiting = [], 0
         if parts:
-            yield rows(*summed(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+            yield counted()
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # In order of terms: the last one of a batch may go on in the next.
-        held = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            new = batch.column("term").to_numpy(), batch.column("n").to_numpy(), unpacked(batch.column("v").to_pylist())
-            keys, n, sums = summed(*(new if held is None else (np.concatenate(x) for x in zip(held, new, strict=True))))
-            if len(keys) > 1:
-                yield rows(keys[:-1], n[:-1], sums[:-1])
-            held = keys[-1:], n[-1:], sums[-1:]
-        if held is not None:
-            yield rows(*held)
+    counts = written(docs.select("text").mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 2"))
+    least, total = None, 0
+    for n, terms_of in counts.groupBy("n").count().orderBy(F.col("n").desc()).limit(most).collect():  # a row for each count
+        if total + terms_of > most:
+            break
+        least, total = n, total + terms_of
+    if least is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(counts.where(F.col("n") >= least).select("term").toArrow()["term"].to_numpy().view(np.uint64))  # at most `most` rows
 
-    return written(docs.select("text").mapInArrow(gathered, schema).repartition("term").sortWithinPartitions("term").mapInArrow(added, schema))
 
+def narrowed(block: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as hold them; the length tells how many."""
+    widest = np.abs(block).max(initial=0)
+    return block.astype(np.int8 if widest < 1 << 7 else np.int16 if widest < 1 << 15 else np.int64).tobytes()
 
-def keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({KEY[0]: F.xxhash64(text), KEY[1]: F.xxhash64(F.lit("b"), text)})
 
+def widened(data: bytes) -> np.ndarray:
+    size = len(data) // (BLOCK * DIMENSIONS)
+    return np.frombuffer(data, {1: np.int8, 2: np.int16, 8: np.int64}[size]).astype(np.int64).reshape(BLOCK, DIMENSIONS)
 
-def document_vectors(docs: DataFrame, vectors: DataFrame, head: int = HEAD) -> DataFrame:
-    """A row for each distinct text: KEY, x (2 DIMENSIONS + 1 floats)."""
-    top = vectors.orderBy(F.col("n").desc(), "term").limit(head).toArrow()  # at most head rows
-    order = np.argsort(known := top["term"].to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast((known[order], unit(unpacked(top["v"].to_pylist()))[order]))
-    schema = StructType.fromDDL(f"{KEY[0]} long, {KEY[1]} long, kind int, n long, term long, x binary")
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each text, one row of what its head terms give (kind -1, n its length), and a row for each other term of a kind."""
-        known, vectors = shared.value
-        vectors = np.vstack([vectors, np.zeros((1, DIMENSIONS), np.float32)])
-        for batch in batches:
-            for a, b in chunks(texts := batch.column("text").to_pylist()):
-                _, *kinds, bounds = terms(texts[a:b])
-                n, keys = np.diff(bounds), [batch.column(k).to_numpy()[a:b] for k in KEY]
-                doc, some = np.repeat(np.arange(b - a), n), np.flatnonzero(n)
-                x, parts = np.zeros((b - a, 2 * DIMENSIONS), np.float32), [(np.arange(b - a), np.full(b - a, -1), n, np.zeros(b - a, np.int64))]
-                for i, kind in enumerate(k.view(np.int64) for k in kinds):
-                    at = np.searchsorted(known, kind)
-                    at[at == len(known)] = 0
-                    at = np.where(known[at] == kind, at, len(known)) if len(known) else at
-                    if len(some):
-                        x[some, i * DIMENSIONS : (i + 1) * DIMENSIONS] = np.add.reduceat(vectors[at], bounds[some], axis=0)
-                    rest = np.flatnonzero(at == len(known))
-                    rest = rest[np.lexsort((kind[rest], doc[rest]))]
-                    new = np.ones(len(rest), bool)
-                    new[1:] = (kind[rest[1:]] != kind[rest[:-1]]) | (doc[rest[1:]] != doc[rest[:-1]])
-                    first = rest[np.flatnonzero(new)]
-                    parts.append((doc[first], np.full(len(first), i), np.diff(np.append(np.flatnonzero(new), len(rest))), kind[first]))
-                of, kind, count, term = (np.concatenate(p).astype(np.int64) for p in zip(*parts, strict=True))
-                own = [r.tobytes() for r in x] + [None] * (len(of) - (b - a))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[0][of]), pa.array(keys[1][of]), pa.array(kind.astype(np.int32)), pa.array(count), pa.array(term), pa.array(own, pa.binary())], schema=to_arrow_schema(schema))
-
-    out = StructType.fromDDL(f"{KEY[0]} long, {KEY[1]} long, x binary")
-
-    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # In order of texts, each with its row of head terms first; a text may go on in the next batch.
-        key, x, n = None, None, 0
-
-        def row() -> tuple:
-            return *key, np.append(x / max(n, 1), np.log1p(n)).astype(np.float32).tobytes()
+def context_vectors(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """The context vector of each term of the vocabulary, from all documents, on the driver."""
+    schema = StructType.fromDDL("block int, v binary")
+    size = -(-len(vocabulary) // BLOCK) * BLOCK
+    if not size:
+        return np.zeros((0, DIMENSIONS), np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def rows(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([narrowed(x) for _, x in found], pa.binary())], schema=to_arrow_schema(schema))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, DIMENSIONS), np.int64)
+        for texts in batch_texts(batches):
+            words, *kinds, bounds = terms(texts)
+            near = neighbours(words, bounds)
+            for kind in kinds:
+                own, _, sums = summed(places_in(shared.value, kind), near)
+                total[own[own < len(shared.value)]] += sums[own < len(shared.value)]
+        blocks = total.reshape(-1, BLOCK, DIMENSIONS)
+        some = np.flatnonzero(blocks.any(axis=(1, 2)))
+        for at in range(0, len(some), 256):
+            yield rows([(int(i), blocks[i]) for i in some[at : at + 256]])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # In order of blocks: the last one of a batch may go on in the next.
+        held: tuple[int, np.ndarray] | None = None
         for batch in batches:
-            if not len(batch):
-                continue
             done = []
-            a, b, kind, times = (batch.column(i).to_numpy() for i in range(4))
-            data = batch.column("x").to_pylist()
-            tail = np.flatnonzero(kind >= 0)
-            vectors = np.zeros((len(batch), DIMENSIONS), np.float32)
-            vectors[tail] = unit(unpacked([data[i] for i in tail])) * times[tail, None]
-            new = np.ones(len(batch), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])
-            first = np.flatnonzero(new)
-            sums = np.add.reduceat(vectors, first, axis=0)
-            for i, s in zip(first, sums, strict=True):
-                if kind[i] < 0:
-                    if key is not None:
-                        done.append(row())
-                    key, x, n = (a[i], b[i]), np.frombuffer(data[i], np.float32).astype(float), int(times[i])
+            for i, v in zip(batch.column("block").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                if held is not None and held[0] == i:
+                    held = i, held[1] + widened(v)
                 else:
-                    x[kind[i] * DIMENSIONS : (kind[i] + 1) * DIMENSIONS] += s
+                    done += [held] if held is not None else []
+                    held = i, widened(v)
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), to_arrow_schema(out), strict=True)], schema=to_arrow_schema(out))
-        if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row(), to_arrow_schema(out), strict=True)], schema=to_arrow_schema(out))
-
-    rows = keyed(docs.select("text")).mapInArrow(split, schema)
-    tail = rows.where("kind >= 0").drop("x").join(vectors.select("term", F.col("v").alias("x")), "term").select(*schema.fieldNames())
-    every = tail.unionByName(rows.where("kind < 0"))
-    # Equal texts give equal rows: one of each.
-    every = every.repartition(*KEY).dropDuplicates([*KEY, "kind", "term"]).sortWithinPartitions(*KEY, "kind", "term")
-    return written(every.mapInArrow(pooled, out))
+                yield rows(done)
+        if held is not None:
+            yield rows([held])
+
+    found = docs.select("text").mapInArrow(run, schema).repartition("block").sortWithinPartitions("block").mapInArrow(added, schema).collect()  # a row for each block
+    out = np.zeros((size, DIMENSIONS), np.int64)
+    for r in found:
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = widened(bytes(r["v"]))
+    return out[: len(vocabulary)]
+
+
+class Pooling:
+    """Document vectors, from the vocabulary's units."""
+
+    def __init__(self, vocabulary: np.ndarray, vectors: np.ndarray):
+        self.vocabulary, self.units = vocabulary, np.vstack([unit(vectors), np.zeros((1, DIMENSIONS), np.float32)])
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        """2 DIMENSIONS + 1 numbers for each text."""
+        words, *kinds, bounds = terms(texts)
+        n = np.diff(bounds)
+        out, some, doc = np.zeros((len(n), 2 * DIMENSIONS + 1)), np.flatnonzero(n), np.repeat(np.arange(len(n)), n)
+        out[:, -1] = np.log1p(n)
+        if not len(some):
+            return out
+        near = neighbours(words, bounds)
+        for i, kind in enumerate(kinds):
+            at = places_in(self.vocabulary, kind)
+            x = np.add.reduceat(self.units[at], bounds[some], axis=0, dtype=np.float64)
+            # The other terms, once for each document.
+            rest = np.flatnonzero(at == len(self.vocabulary))
+            rest = rest[np.lexsort((kind[rest], doc[rest]))]
+            if len(rest):
+                new = np.ones(len(rest), bool)
+                new[1:] = (kind[rest[1:]] != kind[rest[:-1]]) | (doc[rest[1:]] != doc[rest[:-1]])
+                first = np.flatnonzero(new)
+                sums = unit(np.add.reduceat(near[rest], first, axis=0, dtype=np.int64)) * np.diff(np.append(first, len(rest)))[:, None]
+                of = doc[rest[first]]
+                to, start = np.unique(of, return_index=True)
+                x[np.searchsorted(some, to)] += np.add.reduceat(sums, start, axis=0, dtype=np.float64)
+            out[some, i * DIMENSIONS : (i + 1) * DIMENSIONS] = x / n[some, None]
+        return out
 
 
 class Network:
@@ -267,29 +269,41 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.standard(x)) / self.temperature, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, vectors: DataFrame, sample: int = SAMPLE) -> Network | float:
-    """labels: doc_id, label (0 or 1). vectors: of the documents' texts. A network, or the prior where labels don't hold both classes."""
+def fit(docs: DataFrame, labels: DataFrame, pooling: Broadcast, sample: int = SAMPLE) -> Network | float:
+    """labels: doc_id, label (0 or 1). A network, or the prior where labels don't hold both classes."""
     ids = labelled_sample(labels.where("doc_id is not null and label in (0, 1)"), sample).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    known = keyed(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")).drop("text")
-    rows = vectors.join(F.broadcast(known), list(KEY)).select("doc_id", "label", "x").orderBy("doc_id", "x").collect()
+    schema = StructType.fromDDL("doc_id long, label int, x binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(texts := batch.column("text").to_pylist(), CHUNK_BYTES):
+                x = [r.tobytes() for r in pooling.value(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.array(x, pa.binary())], schema=to_arrow_schema(schema))
+
+    known = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text").mapInArrow(run, schema)
+    # Of several texts with one id, one: that of the least vector.
+    rows = sorted(known.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")).collect())
     y = np.array([r["label"] for r in rows], float)
     if len(set(y)) < 2:
         return (y.sum() + 0.5) / (len(y) + 1)
-    return Network(np.array([np.frombuffer(r["x"], np.float32) for r in rows], float), y)
+    return Network(np.array([np.frombuffer(r["x"]) for r in rows]), y)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: list[str] | None = None, name: str = "score") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: list[str] | None = None, name: str = "score", vocabulary: int = VOCABULARY) -> DataFrame:
     """docs' doc_id (or the columns in carry) with the probability of label 1 in the column `name`."""
-    carry = carry or ["doc_id"]
-    vectors = document_vectors(docs, context_vectors(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, vectors, sample))
-    schema = StructType.fromDDL(f"{KEY[0]} long, {KEY[1]} long, `{name}` double")
+    carry = [c for c in carry or ["doc_id"] if c != name]
+    known = vocabulary_of(docs, vocabulary)
+    context = docs.sparkSession.sparkContext
+    pooling = context.broadcast(Pooling(known, context_vectors(docs, known)))
+    shared = context.broadcast(fit(docs, labels, pooling, sample))
+    schema = StructType([*(docs.schema[c] for c in carry), *StructType.fromDDL(f"`{name}` double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, arrow = shared.value, to_arrow_schema(schema)
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, 2 * DIMENSIONS + 1)
-            scores = np.full(len(x), model) if isinstance(model, float) else model(x.astype(float))
-            yield pa.RecordBatch.from_arrays([batch.column(KEY[0]), batch.column(KEY[1]), pa.array(np.asarray(scores, float))], schema=to_arrow_schema(schema))
+            for a, b in chunks(texts := batch.column("text").to_pylist(), CHUNK_BYTES):
+                scores = np.full(b - a, model) if isinstance(model, float) else model(pooling.value(texts[a:b]))
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).cast(arrow.field(c).type) for c in carry), pa.array(np.asarray(scores, float))], schema=arrow)
 
-    return keyed(docs.select(*dict.fromkeys([*carry, "text"]))).select(*carry, *KEY).join(vectors.mapInArrow(run, schema), list(KEY)).select(*carry, name)
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
