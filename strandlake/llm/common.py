@@ -50,6 +50,26 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+class Memory(dict):
+    """What a function gave for the keys met lately, in two generations of at most `entries` each: when the younger
+    is full it becomes the elder, and what is met again moves back. Keys over `longest` are not kept, so the memory is bounded in bytes."""
+
+    def __init__(self, of, entries: int, longest: int = 64):
+        self.of, self.entries, self.longest, self.elder = of, entries, longest, {}
+
+    def __missing__(self, key):
+        out = self.elder.get(key, self)
+        if out is self:
+            out = self.of(key)
+            if len(key) > self.longest:
+                return out
+        if len(self) >= self.entries:
+            self.elder = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most max_rows rows, else as it is (a shuffled join, which AQE splits where skewed)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

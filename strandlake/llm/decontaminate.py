@@ -2,13 +2,13 @@
 
 A text's words are hashed; each run of K words is a k-gram; in each run of W consecutive k-grams the least hash is kept as a
 fingerprint (the rightmost of equals). Two texts that share WINDOW = K + W - 1 words therefore share a fingerprint. Fingerprints
-of the documents are looked up among those of the items, and each hit is extended word by word to both sides; a stretch of
+of the documents meet those of the items in a broadcast join, and each hit is extended word by word to both sides; a stretch of
 WINDOW words or more marks its document words. Items of fewer words are one window each: their single k-gram of all
 their words is looked up among all k-grams of that length (winnowing with a window of one).
 
 Documents pass through one map over Arrow batches: no shuffle, so neither a hot source nor a passage in a third of all
-documents gathers anywhere. The items' hashes are broadcast in blocks of at most BLOCK_MB; with more than one block, each
-block is a pass over the documents and the hit intervals are united per document.
+documents gathers anywhere. The items' hashes are broadcast in blocks of at most BLOCK_MB, one after the other: with more than one block, each
+is a pass over the documents, written to the shared folder, and the hit intervals are united per document.
 
 Defined results: null or wordless texts have no words and no hits; items that are null, wordless or without an id are ignored;
 ids may be null or repeat, each row is judged by itself; without items nothing is contaminated; an empty table gives an empty
@@ -22,11 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .common import written
+
 K, W = 5, 6
 WINDOW = K + W - 1
 #: Bound on the hashes and positions of items that one pass broadcasts.
@@ -204,11 +206,10 @@ def united(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-_COLUMNS = "_n_words long, _spans array<struct<start:int,end:int>>, _items array<string>"
-
-
-def _marked(docs: DataFrame, items: Items, carry: list[str]) -> DataFrame:
-    schema = StructType([*(docs.schema[c] for c in carry), *StructType.fromDDL(_COLUMNS).fields])
+def _marked(docs: DataFrame, items: Items, carry: list[str], names: tuple[str, str, str]) -> DataFrame:
+    """The columns in carry, and under `names` the number of words, the hit spans and the items."""
+    new = StructType.fromDDL(", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("long", "array<struct<start:int,end:int>>", "array<string>"), strict=True)))
+    schema = StructType([*(docs.schema[c] for c in carry), *new.fields])
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,16 +230,29 @@ def _marked(docs: DataFrame, items: Items, carry: list[str]) -> DataFrame:
 
 
 def item_blocks(items: DataFrame) -> Iterator[Items]:
-    """Items in blocks whose texts have at most BLOCK_MB / 16 MB (a word takes 8 bytes, a fingerprint 24)."""
-    ids, texts, size = [], [], 0
+    """Items in blocks whose texts have at most BLOCK_MB / 16 MB (a word takes 8 bytes, a fingerprint 24), one at a time; one block without items."""
+    ids, texts, size, some = [], [], 0, False
     for row in items.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null").toLocalIterator():
         if ids and size + len(row[1]) > BLOCK_MB * (1 << 20) // 16:
             yield Items(ids, texts)
-            ids, texts, size = [], [], 0
+            ids, texts, size, some = [], [], 0, True
         ids.append(row[0])
         texts.append(row[1])
         size += len(row[1])
-    yield Items(ids, texts)
+    if ids or not some:
+        yield Items(ids, texts)
+
+
+def joined_spans(spans: Column) -> Column:
+    """Sorted spans with those that touch or overlap made one."""
+
+    def grown(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        touches = F.coalesce(x["start"] <= last["end"], F.lit(False))
+        return F.when(touches, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), grown)
 
 
 NEW = ("n_words", "hit_spans", "n_hit", "item_ids", "contaminated")
@@ -250,14 +264,28 @@ def find_contamination(docs: DataFrame, items: DataFrame, carry: list[str] | Non
     docs: text and any other columns. items: item_id, text. Clashing names: the new columns take the place of old ones.
     """
     own = [c for c in carry or docs.columns if c not in NEW]
-    blocks = list(item_blocks(items))
     need = list(dict.fromkeys([*own, "text"]))
-    out = _marked(docs.select(*need), blocks[0], need if blocks[1:] else own)
-    for k, block in enumerate(blocks[1:], 2):
-        # A further pass over the texts, whose findings are united with those of earlier passes.
-        out = out.withColumnsRenamed({"_n_words": "_n0", "_spans": "_s0", "_items": "_i0"})
-        out = _marked(out, block, [*(need if k < len(blocks) else own), "_s0", "_i0"])
-        joint = F.udf(lambda a, b: [{"start": s, "end": e} for s, e in united([[x["start"], x["end"]] for x in [*a, *b]])], "array<struct<start:int,end:int>>")
-        out = out.withColumns({"_spans": joint("_s0", "_spans"), "_items": F.array_sort(F.array_union("_i0", "_items"))}).drop("_s0", "_i0")
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
-    return out.select(*own, F.col("_n_words").alias("n_words"), F.col("_spans").alias("hit_spans"), n_hit.alias("n_hit"), F.col("_items").alias("item_ids")).withColumn("contaminated", F.col("n_hit") > 0)
+    # The columns of a pass come after the documents' own ones, under names that none of those has.
+    free = {c: _free(c, need) for c in ("_n_words", "_spans", "_items", "_s0", "_i0")}
+    n_words, spans, names, s0, i0 = (free[c] for c in free)
+    blocks = item_blocks(items)
+    out, block = None, next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        keep = own if following is None else need
+        if out is None:
+            out = _marked(docs.select(*need), block, keep, (n_words, spans, names))
+        else:
+            # A further pass over the texts, whose findings are united with those of earlier passes; written, so that passes don't pile up.
+            before = written(out.withColumnsRenamed({spans: s0, names: i0}).drop(n_words))
+            out = _marked(before, block, [*keep, s0, i0], (n_words, spans, names))
+            out = out.withColumns({spans: joined_spans(F.concat(s0, spans)), names: F.array_sort(F.array_union(i0, names))}).drop(s0, i0)
+        block = following
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
+    return out.select(*own, F.col(n_words).alias("n_words"), F.col(spans).alias("hit_spans"), n_hit.alias("n_hit"), F.col(names).alias("item_ids")).withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name = "_" + name
+    return name

@@ -9,8 +9,8 @@ A word is white-space delimited; its string is the mark of a word's start follow
 the vocabulary file. Every single byte and the mark are pieces there, so every word has a segmentation; with a vocabulary that
 lacks some, a word that can't be segmented counts as one unknown piece.
 
-Documents pass through one map over Arrow batches. A worker keeps the automaton, and the counts of words it has met, up to
-CACHE_WORDS (then it starts anew), so its memory is bounded.
+Documents pass through one map over Arrow batches. A worker keeps the automaton, and the counts of words it has met lately (twice
+CACHE_WORDS at most, none of a long word), so its memory is bounded in bytes.
 
 Defined results: null or blank text has 0 words and 0 pieces; ids may be null or repeat, each row is counted by itself; an empty
 table gives an empty result; extra columns are carried along unchanged unless they clash with the new ones, which take their place.
@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-CACHE_WORDS = 1 << 19
+from .common import Memory
+
+CACHE_WORDS = 1 << 16
 
 
 def byte_alphabet() -> list[str]:
@@ -107,7 +109,7 @@ class Counter:
     _of: dict[str, Counter] = {}
 
     def __init__(self, automaton: Automaton, limit: int = CACHE_WORDS):
-        self.automaton, self.limit, self.met = automaton, limit, {}
+        self.automaton, self.met = automaton, Memory(automaton.count, limit)
 
     @classmethod
     def at(cls, path: str) -> Counter:
@@ -117,15 +119,7 @@ class Counter:
 
     def text(self, text: str | None) -> tuple[int, int]:
         words = (text or "").encode().split()  # bytes.split cuts at the six ASCII white-space bytes
-        met, total = self.met, 0
-        for w in words:
-            n = met.get(w)
-            if n is None:
-                if len(met) >= self.limit:
-                    met.clear()
-                n = met[w] = self.automaton.count(w)
-            total += n
-        return len(words), total
+        return len(words), sum(map(self.met.__getitem__, words))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, carry: list[str] | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ good, its own root and size are right, and so are those of its part and the stor
 `reconstruct` gives the id streams themselves, unchecked.
 
 Ids come from the tokenizers library. Byte-level BPE splits a text into pieces first and encodes each by itself, so a worker encodes
-a piece once by the library's model and keeps its ids, up to CACHE_PIECES (then it starts anew); a text that holds a special
+a piece by the library's model and keeps the ids of those met lately (twice CACHE_PIECES at most, none of a long piece); a text that holds a special
 token, and any text under a vocabulary of another kind, is encoded whole.
 
 Defined results: null text is the empty text (one id, the end); rows with equal doc_id are documents of their own, ordered
@@ -30,7 +30,9 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
+from string import punctuation as MARKS
 
 import numpy as np
 import pyarrow as pa
@@ -39,29 +41,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .common import Memory
 from .token_count import byte_alphabet
 
 END_ID = 0
 #: Ids under the rolling hash, log2 of a chunk's mean length, and its greatest length.
 RUN, CUT_BITS, MAX_CHUNK = 16, 8, 2048
-CACHE_PIECES = 1 << 20
+CACHE_PIECES = 1 << 18
 #: Ids that are cut and joined at once.
 BATCH_IDS = 1 << 20
 #: The split of GPT-2's byte-level BPE, as the library applies it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
-class Memory(dict):
-    """Computes what it lacks."""
-
-    def __init__(self, of):
-        self.of = of
-
-    def __missing__(self, key):
-        out = self[key] = self.of(key)
-        return out
-
-
 class Encoder:
     """Text to the bytes of its ids (two or four each)."""
 
@@ -84,8 +76,8 @@ class Encoder:
         self.alphabet = str.maketrans(dict(enumerate(byte_alphabet())))
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.pieces: dict[str, bytes] = {}
-        self.met = Memory(self.part)
+        self.pieces, self.met = Memory(self.tokenized, CACHE_PIECES), Memory(self.part, CACHE_PIECES)
+        self.blank, self.code = byte_alphabet()[32], "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([END_ID], self.dtype).tobytes()
 
     @classmethod
@@ -97,23 +89,26 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            tokens = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
-            ids = self.pieces[piece] = b"".join([t.id.to_bytes(self.dtype.itemsize, "little") for t in tokens])
-        return ids
+    def tokenized(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.alphabet)
+        elif piece[0] == " " and piece[1:].isalnum():
+            piece = self.blank + piece[1:]
+        else:
+            piece = piece.translate(self.alphabet)
+        return array(self.code, [t.id for t in self.library.model.tokenize(piece)]).tobytes()
 
     def stretch(self, text: str) -> bytes:
         """Ids of a text or of a part that the split cuts out of one."""
-        return b"".join([self.piece(p) for p in self.split(text)])
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def part(self, part: str) -> bytes | None:
         """Ids of a blank and a part of a text between blanks; None where the blank may belong to a run of white space."""
         if part.isalpha():
-            return self.piece(" " + part)
-        if part[-1:] in (".", ",") and part[:-1].isalpha():
-            return self.piece(" " + part[:-1]) + self.piece(part[-1])
+            return self.tokenized(" " + part)
+        word = part.rstrip(MARKS)
+        if word.isalpha():  # and a run of marks, which is a piece by itself
+            return (self.met.get(word) or self.tokenized(" " + word)) + self.pieces[part[len(word) :]]
         return self.stretch(" " + part) if part and part.strip() == part else None
 
     def text(self, text: str) -> bytes:
@@ -128,13 +123,7 @@ class Encoder:
         return self.stretch(text) if rest is None else self.stretch(first) + rest
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for t in texts:
-            for memory in (self.met, self.pieces):
-                if len(memory) >= CACHE_PIECES:
-                    memory.clear()
-            out.append(self.text(t or "") + self.end)
-        return out
+        return [self.text(t or "") + self.end for t in texts]
 
 
 _GEAR = np.random.default_rng(20).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)

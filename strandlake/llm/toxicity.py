@@ -6,7 +6,7 @@ of its class, interpolated with continuation counts that both share (in how many
 neither class knows well has the same backed-off probability in both and says nothing; a new form of a known stem says what the stem says. A text is compared by length-normalised
 log-likelihood ratios: the mean over its words, the roots of the means of what exceeds each of STEPS, and the greatest; a logistic map, fitted on labelled rows that the counts leave out, turns them into a probability.
 
-Labels are learnt from a bounded sample (SAMPLE rows of each class at most, chosen by hash). Its words and pairs are counted in Spark,
+Labels are learnt from a bounded sample (SAMPLE ids of each class at most, chosen by hash, and one text of each). Its words and pairs are counted in Spark,
 and each distinct one is kept, those that stand once too; the driver gets their counts and no texts. Every document is scored whole, in
 one map over Arrow batches, with no shuffle of texts. The models are sorted tables of the sample's words and pairs.
 
@@ -163,6 +163,8 @@ def text_sample(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, label and text of a bounded sample of documents. A quarter of each class is set aside: it calibrates, and gives no counts."""
     ids = ids.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
+    # Of several texts with one id, one: so the sample has no more texts than ids.
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
     turn = F.row_number().over(Window.partitionBy("label").orderBy("doc_id", F.xxhash64("text")))
     return written(rows.withColumn("aside", turn % 4 == 0).repartition(SPREAD, "doc_id"))
 
