@@ -308,6 +308,24 @@ def test_language_model(spark, docs, none, clashing, corpus, monkeypatch):
     assert base.where("n_known > 0 or abs(score) > 1e-6").count() == 0  # one unknown word is all there is
 
 
+def test_scores_do_not_depend_on_the_partitioning(spark, docs, monkeypatch):
+    monkeypatch.setattr(py, "HEAD", 40)
+    by = lambda df: {(r.doc_id, r.n_tokens): (r.n_known, round(r.score, 6)) for r in df.collect()}
+    want = by(py.score_documents(docs.coalesce(1), docs.coalesce(1)))
+    monkeypatch.setattr(py, "GATHER", 500)
+    assert by(py.score_documents(docs.repartition(5, F.rand(1)), docs.repartition(7, F.rand(2)))) == want
+
+
+def test_seating_in_blocks_is_close_to_one_by_one(monkeypatch):
+    customers, keys = np.full(3000, 2000.0), np.arange(3000, dtype=np.uint64)
+    for new in (0.05, 1.0, 20.0):
+        mass, means = np.full(3000, new), []
+        for exact in (64, 4000):
+            monkeypatch.setattr(py, "EXACT", exact)
+            means.append((py.seated(customers, mass, 0.75, keys).mean(), py.seated(customers, mass, 0.75, keys).std()))
+        assert means[0][0] == pytest.approx(means[1][0], rel=0.03) and means[0][1] == pytest.approx(means[1][1], rel=0.15)
+
+
 def test_language_model_is_a_distribution(spark):
     rows = [(i, " ".join(random.Random(i).choices(WORDS[:30], k=40))) for i in range(60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
