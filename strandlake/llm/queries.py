@@ -11,6 +11,7 @@ from .common import crc_mod, shared_dir, table
 from .decontaminate import find_contamination
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
+from .oracles import oracle_sql as oracle_sql
 from .pitman_yor import score_documents
 from .quality_classifier import GOOD, score_quality
 from .quality_rules import quality_rules
@@ -87,7 +88,3 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_count, op2_decontaminate, op3_secret_scan, op4_toxicity, op5_quality_rules, op6_token_store, op7_quality_classifier, op8_pitman_yor, op9_near_duplicates, op10_mixing)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
