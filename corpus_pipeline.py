@@ -33,15 +33,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the least id; rows with one id are one document; rows without an id stay."""
+    """One document of each class of near-duplicates, the one with the least id; rows with one id are one document, of which the row of the
+    least hash stays; rows without an id stay."""
     classes = near_duplicates(docs.select("doc_id", "text"))
     dropped = classes.where("doc_id <> class_id").select("doc_id").distinct()
     kept = docs.join(small(dropped, BROADCAST_IDS), "doc_id", "left_anti")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():
         repeated = small(repeated, BROADCAST_IDS)
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+        mark = F.struct(F.xxhash64(*docs.columns), F.xxhash64("text"))
+        once = kept.join(repeated, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*docs.columns), mark).alias("_row"))
+        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("_row.*"))
     return kept.select(*docs.columns)
 
 
@@ -54,13 +56,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it, to the nearest whole number (equal rows share what they are given)."""
+    safe, back = renamed(docs, ("_size", "_doc", "_source", "_words", "_times", "_copy"))
     taken = mix_sources(docs.select("doc_id", "source", "text"))
     times = taken.where("size > 0").groupBy("doc_id", "source", "size").agg(F.round(F.sum("taken") / F.count("*") / F.col("size")).cast("int").alias("_times"))
     times = times.where("_times > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_times")
-    sized = docs.withColumn("_size", F.size(words_of(F.col("text"))).cast("long"))
+    sized = safe.withColumn("_size", F.size(words_of(F.col("text"))).cast("long"))
     same = sized["doc_id"].eqNullSafe(times["_doc"]) & sized["source"].eqNullSafe(times["_source"]) & (sized["_size"] == times["_words"])
     out = sized.join(times.hint("shuffle_hash"), same)
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*safe.columns).withColumnsRenamed(back)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
