@@ -3,8 +3,8 @@
 1. Each source's target: a share of the whole by weight, at most `epochs` times its own size, the excess shared again (closed form:
    sources ordered by cap per weight fill up in that order, so one running sum finds those that stop at their cap).
 2. The mix has round(total target / block) blocks. Blocks go to sources, then to groups of shards, then to shards, each time to the
-   highest quotients weight / (2 k + 1). A shard holds about DOCS_PER_SHARD documents of one source, by the hash of the id, so a
-   large source is many shards; a group holds SHARDS_PER_GROUP shards, so no window holds more than a bounded number of rows.
+   highest quotients weight / (2 k + 1). A shard holds about DOCS_PER_SHARD documents of one source, by the hash of the row, so a
+   large source is many shards, equal rows and rows without an id too; a group holds SHARDS_PER_GROUP shards, so no window holds more than a bounded number of rows.
    Only quotients near the seat boundary are ranked: a divisor argument bounds how far a quota can lie from its exact share.
 3. Within a shard, documents in seeded hash order form a stream of words that is cut into blocks. A quota of q blocks of n takes
    the whole stream q div n times, and q mod n further blocks from a seeded start, around the end. What a document gives is the
@@ -39,10 +39,21 @@ def apportion(children: DataFrame, parent: list[str], key: str) -> DataFrame:
     children: parent columns, key, weight (double), limit (long), seats (long, the same within a parent). Keys are not null; ties go to the lower key.
     """
     over = Window.partitionBy(*parent)
-    exact = F.when(F.col("_sum") > 0, F.col("seats") * F.col("weight") / F.col("_sum")).otherwise(F.lit(0.0))
-    slack = F.when(F.col("seats") > 0, F.col("_t") * F.col("_n") / (2 * F.col("seats"))).otherwise(F.lit(0.0)) + 2
+    # Exact shares: children whose limit is low for their weight fill up first, the others share the rest by weight.
+    by_fill = over.orderBy(F.when(F.col("weight") > 0, F.col("limit") / F.col("weight")), F.col(key))
+    before, after = by_fill.rowsBetween(Window.unboundedPreceding, -1), by_fill.rowsBetween(0, Window.unboundedFollowing)
+    some_weight = F.col("weight") > 0
+    counts = F.when(some_weight, F.col("limit")).otherwise(F.lit(0))
+    level = (F.col("seats") - F.coalesce(F.sum(counts).over(before), F.lit(0))) / F.sum("weight").over(after)
+    full = some_weight & (F.col("limit") <= F.col("_level") * F.col("weight"))
+    rest = F.col("seats") - F.coalesce(F.sum(F.when(F.col("_full"), F.col("limit"))).over(over), F.lit(0))
+    open_weight = F.sum(F.when(~F.col("_full"), F.col("weight"))).over(over)
+    exact = F.when(F.col("_full"), F.col("limit").cast("double")).otherwise(F.when(some_weight & (F.col("_open") > 0), F.col("_left") * F.col("weight") / F.col("_open")).otherwise(F.lit(0.0)))
+    slack = F.when(F.col("_left") > 0, F.col("_t") * F.col("_n") / (2 * F.col("_left"))).otherwise(F.lit(0.0)) + 2
     bounds = (
-        children.withColumns({"_sum": F.sum("weight").over(over), "_n": F.count("*").over(over)})
+        children.withColumn("_level", level)
+        .withColumn("_full", F.coalesce(full, F.lit(False)))
+        .withColumns({"_left": rest, "_open": open_weight, "_n": F.count("*").over(over)})
         .withColumn("_t", exact)
         .withColumns({"_low": F.least(F.greatest(F.floor(F.col("_t") - slack), F.lit(0)).cast("long"), "limit"), "_high": F.least(F.ceil(F.col("_t") + slack).cast("long"), "limit")})
         .withColumn("_rest", F.col("seats") - F.sum("_low").over(over))
@@ -82,7 +93,9 @@ def overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def mix_sources(docs: DataFrame, *, share: float = SHARE, epochs: int = EPOCHS, weights: tuple = WEIGHTS, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target (its source's) and taken (words the mix takes of it)."""
-    sized = written(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size")))
+    sized = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("_text"))
+    # Equal rows are told apart by a number, so that each is dealt by itself, however many there are.
+    sized = written(sized.groupBy("doc_id", "source", "size", "_text").agg(F.count("*").alias("_n")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n"))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), share, epochs, weights)
     smallest = F.min(F.when(F.col("words") > 0, F.col("words"))).over(Window.partitionBy(F.lit(0)))
     sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.coalesce(smallest, F.lit(1)) / BLOCKS_LEAST))).cast("long"))
@@ -90,8 +103,8 @@ def mix_sources(docs: DataFrame, *, share: float = SHARE, epochs: int = EPOCHS,
 
     near = small(sources.select(F.col("source").alias("_source"), "rank", "shards", "block", "target", F.col("words").alias("source_size")), BROADCAST_ROWS)
     placed = sized.join(near, sized["source"].eqNullSafe(near["_source"]), "left").drop("_source")
-    mark = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    placed = placed.withColumns({"_mark": mark, "shard": F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("size")), F.col("shards"))})
+    row = (F.col("doc_id"), F.col("size"), F.col("_text"), F.col("_copy"))
+    placed = placed.withColumns({"_mark": F.xxhash64(F.lit(seed), *row), "shard": F.pmod(F.xxhash64(F.lit(seed + 1), *row), F.col("shards"))})
 
     shards = placed.groupBy("rank", "shard", "block").agg(F.sum("size").alias("words"))
     shards = shards.withColumns({"group": F.floor(F.col("shard") / SHARDS_PER_GROUP), "blocks": F.ceil(F.col("words") / F.col("block"))})
@@ -107,7 +120,7 @@ def mix_sources(docs: DataFrame, *, share: float = SHARE, epochs: int = EPOCHS,
         "rank", "shard", F.floor(F.col("quota") / F.col("blocks")).alias("_whole"), (F.col("quota") % F.col("blocks")).alias("_more"), "blocks", F.pmod(F.xxhash64(F.lit(seed), "rank", "shard"), F.col("blocks")).alias("_from")
     )
 
-    in_shard = Window.partitionBy("rank", "shard").orderBy("_mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_shard = Window.partitionBy("rank", "shard").orderBy("_mark", "doc_id", "size", "_text", "_copy").rowsBetween(Window.unboundedPreceding, -1)
     laid = placed.withColumn("_a", F.coalesce(F.sum("size").over(in_shard), F.lit(0))).join(quotas, ["rank", "shard"], "left")
     a, b, block = F.col("_a"), F.col("_a") + F.col("size"), F.col("block")
     first, last, ring = F.col("_from") * block, (F.col("_from") + F.col("_more")) * block, F.col("blocks") * block

@@ -253,15 +253,30 @@ def highest(weights, limits, seats):
 
 def test_apportionment_is_highest_quotients(spark):
     rng = random.Random(3)
-    cases = []
-    for c in range(40):
+    cases = [([10.0, 1.0], [2, 100], 50), ([1.0, 1.0], [3, 4], 50), ([0.0, 5.0], [9, 2], 6)]
+    for c in range(80):
         n = rng.randint(1, 9)
-        cases.append(([rng.choice([0.0, rng.random() * 100, float(rng.randint(1, 5))]) for _ in range(n)], rng.randint(0, 60)))
-    rows = [(c, i, w, 10**6, s) for c, (ws, s) in enumerate(cases) for i, w in enumerate(ws)]
+        limits = [10**6] * n if c % 2 else [rng.choice([0, 1, 3, rng.randint(0, 30), 10**6]) for _ in range(n)]
+        cases.append(([rng.choice([0.0, rng.random() * 100, float(rng.randint(1, 5))]) for _ in range(n)], limits, rng.randint(0, 60)))
+    rows = [(c, i, w, m, s) for c, (ws, ms, s) in enumerate(cases) for i, (w, m) in enumerate(zip(ws, ms, strict=True))]
     got = apportion(spark.createDataFrame(rows, "p int, k int, weight double, limit long, seats long"), ["p"], "k").collect()
     by = {(r.p, r.k): r.quota for r in got}
-    for c, (ws, s) in enumerate(cases):
-        assert [by[c, i] for i in range(len(ws))] == highest(ws, [10**6] * len(ws), s), (ws, s)
+    for c, (ws, ms, s) in enumerate(cases):
+        assert [by[c, i] for i in range(len(ws))] == highest(ws, ms, s), (ws, ms, s)
+
+
+def test_rows_without_ids_are_dealt_one_by_one(spark, monkeypatch):
+    """A third of all rows are equal and have no id: they spread over shards, and each source meets its target."""
+    monkeypatch.setattr(mixing, "DOCS_PER_SHARD", 256)
+    rows = [(None, "one two three", "a")] * 400 + [(i, "word " * (1 + i % 40), "ab"[i % 2]) for i in range(800)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)).collect()
+    taken, sizes = Counter(), Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        sizes[r.source] += r.size
+    want = brute_targets(sizes)
+    assert len(got) == 1200 and all(abs(taken[s] - want[s]) <= 0.05 * want[s] for s in sizes)
+    assert len({r.taken for r in got if r.doc_id is None}) > 1
 
 
 def brute_targets(sizes):
