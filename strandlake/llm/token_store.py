@@ -9,9 +9,9 @@ The folder holds
               different tasks together; only the first row of a hash keeps the ids, so unique chunks are stored once.
               Within a task equal chunks are joined before the shuffle, so a chunk of a third of all documents
               comes as one row from each map batch.
-  recipes/    in ascending doc_id order: doc_id, start, n_tokens, chunk hashes, root (Merkle root over the chunk hashes), number of rows.
-  manifest/   a row for each recipe part: part, rows, tokens, root over its documents' starts, sizes, ids and roots.
-  root/       one row: the store's own root, over the rows of the manifest.
+  recipes/    in ascending doc_id order: doc_id, part, place, start, n_tokens, chunk hashes, root (Merkle root over the chunk hashes).
+  manifest/   a row for each recipe part: part, rows, tokens, root over the roots of its blocks of documents (starts, sizes, ids, roots).
+  root/       one row: the store's own root, over the rows of the manifest and the bytes that an id takes; and those bytes.
 Reading back takes the ids from the chunk files: their hashes are verified, and CRC-32s of the chunks are combined into
 documents' by the recipes, so ids move no more than once. All roots are computed again: a document is intact if its chunks are there and
 good, its own root and size are right, and so are those of its part and the store's root, with no part missing.
@@ -36,7 +36,7 @@ from string import punctuation as MARKS
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -48,6 +48,8 @@ END_ID = 0
 #: Ids under the rolling hash, log2 of a chunk's mean length, and its greatest length.
 RUN, CUT_BITS, MAX_CHUNK = 16, 8, 2048
 CACHE_PIECES = 1 << 18
+#: Documents whose roots are tied together in a manifest part's tree.
+BLOCK = 1024
 #: Ids that are cut and joined at once.
 BATCH_IDS = 1 << 20
 #: The split of GPT-2's byte-level BPE, as the library applies it.
@@ -213,9 +215,9 @@ def _cut(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def write_store(docs: DataFrame, vocabulary: str, path: str, width: int = 2) -> None:
-    """Writes docs (doc_id, text) into a new store at path. width: bytes an id (2 for vocabularies up to 65,536 ids, else 4)."""
-    spark = docs.sparkSession
+def write_store(docs: DataFrame, vocabulary: str, path: str) -> None:
+    """Writes docs (doc_id, text) into a new store at path."""
+    spark, width = docs.sparkSession, Encoder.at(vocabulary).dtype.itemsize
     first = F.row_number().over(Window.partitionBy("hash").orderBy(F.col("docs")[0], F.col("places")[0])) == 1
     chunks = _cut(docs, vocabulary).withColumn("ids", F.when(first, F.col("ids")))
     chunks.withColumn("n", F.length("ids") / width).withColumn("n", F.col("n").cast("int")).write.option("compression", "zstd").parquet(f"{path}/chunks")
@@ -227,41 +229,53 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, width: int = 2) ->
     listed = listed.withColumn("copies", F.size(F.filter("c", lambda x: x["place"] == 0))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     every = F.filter("c", lambda x, i: (i % F.col("copies")) == (F.col("copy") - 1))
     recipes = listed.select("doc_id", "key", every.alias("c")).select("doc_id", "key", F.transform("c", lambda x: x["hash"]).alias("chunks"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_tokens"))
-    ordered = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "key")
+    ordered = recipes.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
 
-    schema = StructType.fromDDL("doc_id long, part int, start long, n_tokens long, chunks array<binary>, root binary")
+    schema = StructType.fromDDL("doc_id long, part int, place long, start long, n_tokens long, chunks array<binary>, root binary")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at, part = 0, TaskContext.get().partitionId()
+        at, place, part = 0, 0, TaskContext.get().partitionId()
         for b in batches:
             n = b.column("n_tokens").to_numpy()
             ends = at + np.cumsum(n)
             roots = [merkle(x) for x in b.column("chunks").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([part] * len(n), pa.int32()), pa.array(ends - n), b.column("n_tokens").cast(pa.int64()), b.column("chunks").cast(pa.list_(pa.binary())), pa.array(roots, pa.binary())], names=["doc_id", "part", "start", "n_tokens", "chunks", "root"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(place, place + len(n))), pa.array(ends - n), b.column("n_tokens").cast(pa.int64()), b.column("chunks").cast(pa.list_(pa.binary())), pa.array(roots, pa.binary())], names=schema.fieldNames())
+            place += len(n)
             at = int(ends[-1]) if len(n) else at
 
     ordered.mapInArrow(numbered, schema).write.option("compression", "zstd").parquet(f"{path}/recipes")
     part_sums(spark.read.parquet(f"{path}/recipes")).coalesce(1).write.parquet(f"{path}/manifest")
-    store_root(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/root")
+    store_root(spark.read.parquet(f"{path}/manifest"), width).write.parquet(f"{path}/root")
+
+
+def tied(rows: DataFrame, by: list[str], order: str, line: Column) -> DataFrame:
+    """A row for each group: by, and the hash of its rows' lines in order (root)."""
+    lines = F.sort_array(F.collect_list(F.struct(order, line.alias("line"))))
+    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ","), 256).alias("root"))
 
 
 def part_sums(recipes: DataFrame) -> DataFrame:
-    """A row for each part: part, rows, tokens, root."""
-    leaf = F.concat_ws(":", "start", "n_tokens", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("root"))
-    root = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", leaf.alias("leaf")))), lambda x: x["leaf"]), ","), 256)
-    return recipes.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"), root.alias("root"))
+    """A row for each part: part, rows, tokens, root. The root ties the roots of blocks of BLOCK documents, so no list grows with the corpus but that of a part's blocks."""
+    leaf = F.concat_ws(":", "place", "start", "n_tokens", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("root"))
+    blocks = tied(recipes.withColumn("block", F.floor(F.col("place") / BLOCK)), ["part", "block"], "place", leaf)
+    sums = recipes.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"))
+    return sums.join(tied(blocks, ["part"], "block", F.col("root")), "part")
 
 
-def store_root(manifest: DataFrame) -> DataFrame:
-    """One row, `root`."""
+def store_root(manifest: DataFrame, width: int) -> DataFrame:
+    """One row: root, width (bytes an id)."""
     lines = F.sort_array(F.collect_list(F.struct("part", F.concat_ws(":", "part", "rows", "tokens", "root").alias("line"))))  # a row for each part
-    return manifest.agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ","), 256).alias("root"))
+    return manifest.agg(F.sha2(F.concat_ws(";", F.lit(str(width)), F.array_join(F.transform(lines, lambda x: x["line"]), ",")), 256).alias("root"), F.lit(width).alias("width"))
 
 
-def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_store(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start, n_tokens, ids_crc32 (of four-byte little-endian ids), whether hashes, sizes and roots verify (intact); null for a CRC whose chunks are not all there."""
+    known = spark.read.parquet(f"{path}/root").first()
+    if known is None:
+        raise ValueError(f"'{path}' is no store: it has no root")
+    width = known["width"]
     schema = StructType.fromDDL("hash binary, crc long, size long, good boolean")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,8 +289,7 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     chunks = spark.read.parquet(f"{path}/chunks").where("ids is not null").select("hash", "ids").mapInArrow(summed, schema)
     recipes = spark.read.parquet(f"{path}/recipes")
     manifest = spark.read.parquet(f"{path}/manifest")
-    known = spark.read.parquet(f"{path}/root").first()
-    sound = known is not None and known["root"] == store_root(manifest).first()["root"]
+    sound = known["root"] == store_root(manifest, width).first()["root"]
     found = part_sums(recipes).withColumnsRenamed({c: f"own_{c}" for c in ("rows", "tokens", "root")})
     same = (F.col("rows") == F.col("own_rows")) & (F.col("tokens") == F.col("own_tokens")) & (F.col("root") == F.col("own_root"))
     complete = F.min(F.col("rows").isNotNull() & F.col("own_rows").isNotNull()).over(Window.partitionBy())
