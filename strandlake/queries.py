@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -20,6 +21,8 @@ def _lake(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[Lake, st
     at = (spark.sparkContext.applicationId, kind, sf_dir)
     if at not in _built:
         base = spark.conf.get(ROOT_SETTING, None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {ROOT_SETTING} or spark.checkpoint.dir to a folder that all machines share")
         root = f"{base.rstrip('/')}/lakes-{abs(hash(at)):x}" if base else tempfile.mkdtemp(prefix="strandlake-")
         lake = Lake(spark, root, today=lambda: TODAY)
         build(lake, sf_dir)
