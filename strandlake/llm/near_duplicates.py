@@ -50,6 +50,10 @@ PIVOTS = (1, 8, 64, 256)
 BITS_PER_UNIT, MAX_BITMAP = 4, 64
 #: Rows (of ids, of buckets with their pivots) up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS, BROADCAST_PIVOTS = 500_000, 20_000
+#: Bytes up to which the units of all texts that are compared are broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Edges up to which their components are found in one partition.
+FEW_EDGES = 200_000
 #: Bytes of text that are hashed and sketched at once.
 SKETCH_BYTES = 1 << 20
 _STEP, _COPY = 0xD1342543DE82EF95, np.uint64(0xAF251AF3B0F025B5)
@@ -164,10 +168,12 @@ def units_by_node(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.select("node", "key", "text").mapInArrow(run, schema).groupBy("node", "key").agg(F.first("units").alias("units"))
 
 
-def similar(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """pairs (a, b) with whether any two of their texts reach LEAST, by their units."""
+def similar(pairs: DataFrame, units: DataFrame, light: bool = False) -> DataFrame:
+    """pairs (a, b) with whether any two of their texts reach LEAST, by their units. light: all units may be broadcast."""
     schema = StructType.fromDDL("a long, b long, linked boolean")
     left, right = (units.select(F.col("node").alias(x), F.col("units").alias(f"u{x}")) for x in "ab")
+    if light:
+        left, right = F.broadcast(left), F.broadcast(right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,23 +192,28 @@ def similar(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def contracted(edges: DataFrame) -> DataFrame | None:
-    """edges (a, b) to the least node of each connected component: node, class, for all nodes that aren't the least. None without edges."""
+    """edges (a, b) to the least node of each connected component: node, class, for all nodes that aren't the least. None without edges.
+
+    Up to FEW_EDGES edges (pairs of numbers) are one partition, so that a step takes a task or two and no shuffle.
+    """
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    classes = None
+    few = edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES
+    together = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    edges, classes = together(edges), None
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("up"))
+        low = together(both).groupBy("a").agg(F.least("a", F.min("b")).alias("up"))
         # A second step up: the least neighbour's own least neighbour.
         higher = low.select(F.col("a").alias("up"), F.col("up").alias("top"))
-        step = written(low.join(higher, "up").select(F.col("a").alias("node"), F.col("top").alias("class")))
+        step = together(written(low.join(higher, "up").select(F.col("a").alias("node"), F.col("top").alias("class"))))
         if classes is None:
             classes = step
         else:
             on = step.select(F.col("node").alias("class"), F.col("class").alias("new"))
-            classes = written(classes.join(on, "class", "left").select("node", F.coalesce("new", "class").alias("class")))
+            classes = together(written(classes.join(on, "class", "left").select("node", F.coalesce("new", "class").alias("class"))))
         a, b = (step.select(F.col("node").alias(x), F.col("class").alias(f"c{x}")) for x in "ab")
         moved = edges.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b")
-        edges = written(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = together(written(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     return classes if classes is None else classes.where("node <> class")
 
 
@@ -224,6 +235,7 @@ def classes_of(members: DataFrame, docs: DataFrame) -> DataFrame | None:
     wanted = several.groupBy("node").agg(F.count("*").alias("degree"))
     wanted = written(members.select("node", "key", "n", "bits").join(wanted, "node"))
     units = written(units_by_node(docs, wanted.select("node", "key")))
+    light = 8 * (wanted.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_BYTES
     met = written(several.join(wanted.drop("key"), "node").withColumn("class", F.col("node")))
     checked: list[DataFrame] = []
     classes, turn = None, 0
@@ -232,8 +244,8 @@ def classes_of(members: DataFrame, docs: DataFrame) -> DataFrame | None:
         other = F.explode(F.transform(F.filter("pivots", may_link), lambda p: p["node"]))
         pairs = met.select("node", other.alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         if checked:
-            pairs = pairs.join(reduce(DataFrame.unionAll, checked), ["a", "b"], "left_anti")
-        new = written(similar(written(pairs), units))
+            pairs = pairs.join(small(reduce(DataFrame.unionAll, checked).select("a", "b"), BROADCAST_IDS), ["a", "b"], "left_anti")
+        new = written(similar(written(pairs), units, light))
         checked.append(new)
         if not new.where("linked").isEmpty():
             classes = contracted(reduce(DataFrame.unionAll, checked).where("linked").select("a", "b"))
