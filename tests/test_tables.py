@@ -155,7 +155,7 @@ class Failing:
         self.store.move(a, b)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3])
+@pytest.mark.parametrize("n", [1, 3])
 @pytest.mark.parametrize("what", ["write", "merge", "compact"])
 def test_failed_swaps_lose_no_rows(lake, monkeypatch, what, n):
     from strandlake.operators import manage
