@@ -133,9 +133,12 @@ _GEAR = np.random.default_rng(20).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 def cut_places(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Chunk ends in concatenated streams. starts: where each stream begins, and the total length at last."""
-    h, g = np.zeros(len(ids), np.uint64), _GEAR[ids & 0xFFFF]
-    for i in range(min(RUN, len(ids))):
-        h[i:] += g[: len(ids) - i] << np.uint64(i)
+    # The hash of a run, each id's gear shifted by its distance from the end, by doubling the length of the run.
+    h, run = _GEAR[ids & 0xFFFF], 1
+    while run < RUN:
+        longer = h.copy()
+        longer[run:] += h[:-run] << np.uint64(run)
+        h, run = longer, 2 * run
     h *= np.uint64(0x9E3779B97F4A7C15)
     ends = np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1
     of = np.searchsorted(starts, ends - 1, "right") - 1
