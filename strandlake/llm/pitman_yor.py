@@ -1,16 +1,22 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
 Every context has a Chinese restaurant whose dishes are words; all share one parent restaurant over words, whose base is uniform over the
-known words and one unknown. A token's context is the last of the CONTEXTS - 1 most frequent words that precedes it in its text (or
-none), so there are few restaurants whatever the corpus. Tables are seated by Gibbs sweeps: given the parent's
-probability of a word, and the restaurants' totals of the sweep before, the customers of each word in each context are seated anew, and
-its tables sit down in the parent. A word's restaurants only need the word's own counts and those few totals, so a sweep is one map
-over the table of words, with one row of totals from each task. Probabilities are averaged over the last KEPT sweeps.
+known words and one unknown. Tables are seated by Gibbs sweeps: given the parent's probability of a word, and the restaurants' totals of the
+sweep before, the customers of each word in each context are seated anew, and its tables sit down in the parent. Probabilities are averaged over the last KEPT sweeps.
+
+score_by_histories, which op8 uses, has a restaurant for each preceding word (and one for the start of a text), however many there are. The
+pairs of a word and the one before it stand in a table; the state of words and contexts meets them by joins in each sweep, where only pairs that occur twice or more
+are seated, as a single customer always has one table. Frequent pairs (fewer than 2 HEAD_PAIRS) are scored in the map from a broadcast; all
+others by a join on the pair, and pairs that training does not hold by joins of word and context.
+
+score_documents is the bounded form: a token's context is the last of the CONTEXTS - 1 most frequent words that precedes it in its text (or
+none), so there are few restaurants whatever the corpus. A word's restaurants only need the word's own counts and the totals, so a sweep is one map
+over the table of words, with one row of totals from each task.
 
 Seating draws each of a dish's first EXACT customers; further ones come in blocks of half as many as sit already, whose number of new tables
 is drawn from its Poisson or normal limit (tests compare mean and spread with drawing one by one). All draws are hashes of word, context, sweep and place, so reruns agree.
 
-Text is read three times: for word counts, for counts by word and context, for scores. Frequent words (a share of more than one
+The bounded form reads text three times: for word counts, for counts by word and context, for scores. Frequent words (a share of more than one
 in 2 HEAD of all tokens, so fewer than 2 HEAD) are scored in the map itself, from a broadcast table of
 bounded size; all others are joined by word, where no word has more than that share. What is scored per word and
 document is summed before the shuffle by document. Counts and draws do not depend on how the rows are dealt, so scores don't but for rounding.
@@ -22,7 +28,7 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import written
+from .common import small, written
 from .decontaminate import chunks, mixed, text_bytes, word_hashes
 
 CONTEXTS, HEAD = 64, 1 << 17
@@ -41,7 +47,9 @@ SWEEPS, KEPT, EXACT = 5, 2, 64
 D1, S1, D0, S0 = 0.75, 1.0, 0.6, 10.0
 #: Words that are counted together before the shuffle.
 GATHER = 1_500_000
-END = np.uint64(0x5EED)
+#: Pairs of a word and the one before it that are scored in the map itself: fewer than 2 HEAD_PAIRS. Rows up to which words or contexts are broadcast.
+HEAD_PAIRS, BROADCAST_ROWS = 1 << 17, 500_000
+END, START = np.uint64(0x5EED), np.uint64(0x57A7)
 
 #: Lower case of A-Z; 0 for white space.
 _LETTERS = np.arange(256, dtype=np.uint8)
@@ -70,6 +78,14 @@ def contexts(words: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, order:
     return out
 
 
+def preceding(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The token before each one in its text; START for the first."""
+    out = np.empty_like(words)
+    out[1:] = words[:-1]
+    out[bounds[:-1]] = START
+    return out
+
+
 def grouped(words: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs with their counts, in order."""
     order = np.lexsort((other, words))
@@ -119,22 +135,22 @@ def frequent_words(training: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.sort(np.append(ranked, END)), top[order], order.astype(np.uint8)
 
 
-def counted(training: DataFrame, top: np.ndarray, order: np.ndarray) -> DataFrame:
-    """A row for each word of the training texts: w, us and cs (its contexts and its counts there)."""
-    schema = StructType.fromDDL("w long, u int, c long")
-    shared = training.sparkSession.sparkContext.broadcast((top, order))
+def pair_sums(training: DataFrame, context_of: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str) -> DataFrame:
+    """A row for each word and context of the training texts: w, u (of the type `kind`), c."""
+    schema = StructType.fromDDL(f"w long, u {kind}, c long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, where, waiting = [], [], 0
 
         def flush() -> pa.RecordBatch:
             w, u, c = grouped(np.concatenate(words), np.concatenate(where))
-            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(u.astype(np.int32)), pa.array(c.astype(np.int64))], schema=to_arrow_schema(schema))
+            u = u.view(np.int64) if u.dtype == np.uint64 else u.astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(u), pa.array(c.astype(np.int64))], schema=to_arrow_schema(schema))
 
         for texts in batch_texts(batches):
             w, bounds = tokens(texts)
             words.append(w)
-            where.append(contexts(w, bounds, *shared.value))
+            where.append(context_of(w, bounds))
             waiting += len(w)
             if waiting >= GATHER:
                 yield flush()
@@ -142,8 +158,14 @@ def counted(training: DataFrame, top: np.ndarray, order: np.ndarray) -> DataFram
         if words:
             yield flush()
 
+    return training.select("text").mapInArrow(run, schema).groupBy("w", "u").agg(F.sum("c").alias("c"))
+
+
+def counted(training: DataFrame, top: np.ndarray, order: np.ndarray) -> DataFrame:
+    """A row for each word of the training texts: w, us and cs (its contexts and its counts there)."""
+    shared = training.sparkSession.sparkContext.broadcast((top, order))
     # A frequent word's rows, up to CONTEXTS from each task, are first summed by context; a list has at most CONTEXTS entries.
-    sums = training.select("text").mapInArrow(run, schema).groupBy("w", "u").agg(F.sum("c").alias("c"))
+    sums = pair_sums(training, lambda w, bounds: contexts(w, bounds, *shared.value), "int")
     lists = sums.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("u", "c"))).alias("x"))
     return lists.select("w", F.col("x.u").alias("us"), F.col("x.c").alias("cs"))
 
@@ -299,6 +321,30 @@ class Head:
 PARTS = "doc_id long, key long, w long, u int, n int, rows int, n_tokens long, n_known long, base double, score double"
 
 
+def text_keys(words: np.ndarray, bounds: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    keys = np.zeros(len(bounds) - 1, np.uint64)
+    np.add.at(keys, doc, mixed(words + (np.arange(len(words)) - bounds[doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return keys
+
+
+def part_rows(ids: pa.Array, keys: np.ndarray, n: np.ndarray, sums: list[np.ndarray], whose: np.ndarray, w: np.ndarray, u: np.ndarray, c: np.ndarray, arrow: pa.Schema) -> pa.RecordBatch:
+    """A row for each text with what its head gives (sums: known tokens, base, score), and one for each other word and context (of the text `whose`)."""
+    index, zero = np.concatenate([np.arange(len(ids)), whose]), np.zeros(len(w))
+    columns = [
+        ids.take(pa.array(index)),
+        keys[index].view(np.int64),
+        np.concatenate([keys.view(np.int64), w.view(np.int64)]),  # head rows meet no word: their u is -1
+        np.concatenate([np.full(len(ids), -1, u.dtype), u]),
+        np.concatenate([np.zeros(len(ids)), c]).astype(np.int32),
+        np.concatenate([np.ones(len(ids)), zero]).astype(np.int32),
+        np.concatenate([n, zero]).astype(np.int64),
+        np.concatenate([sums[0], zero]).astype(np.int64),
+        np.concatenate([sums[1], zero]),
+        np.concatenate([sums[2], zero]),
+    ]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], schema=arrow)
+
+
 def scored(docs: DataFrame, model: Head, top: np.ndarray, order: np.ndarray) -> DataFrame:
     """For each document, one row of what its head words give (rows = 1), and a row for each other word and context (n occurrences)."""
     schema = StructType([docs.schema["doc_id"], *StructType.fromDDL(PARTS).fields[1:]])
@@ -313,8 +359,7 @@ def scored(docs: DataFrame, model: Head, top: np.ndarray, order: np.ndarray) ->
                 u = contexts(words, bounds, top, order)
                 n = np.diff(bounds)
                 doc = np.repeat(np.arange(b - a), n)
-                keys = np.zeros(b - a, np.uint64)
-                np.add.at(keys, doc, mixed(words + (np.arange(len(words)) - bounds[doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                keys = text_keys(words, bounds, doc)
                 at = np.searchsorted(model.words, words)
                 at[at == len(model.words)] = 0
                 known = model.words[at] == words if len(model.words) else np.zeros(len(words), bool)
@@ -323,22 +368,7 @@ def scored(docs: DataFrame, model: Head, top: np.ndarray, order: np.ndarray) ->
                 # The rest, once for each document, word and context.
                 rest = np.flatnonzero(~known)
                 w, where, c = grouped(words[rest], doc[rest].astype(np.int64) << 8 | u[rest])
-                whose, m = where >> 8, len(w)
-                index = np.concatenate([np.arange(b - a), whose])
-                zero = np.zeros(m)
-                columns = [
-                    batch.column("doc_id").slice(a, b - a).take(pa.array(index)),
-                    keys[index].view(np.int64),
-                    np.concatenate([keys.view(np.int64), w.view(np.int64)]),  # head rows meet no word: their u is -1
-                    np.concatenate([np.full(b - a, -1), where & 255]).astype(np.int32),
-                    np.concatenate([np.zeros(b - a), c]).astype(np.int32),
-                    np.concatenate([np.ones(b - a), zero]).astype(np.int32),
-                    np.concatenate([n, zero]).astype(np.int64),
-                    np.concatenate([sums[0], zero]).astype(np.int64),
-                    np.concatenate([sums[1], zero]),
-                    np.concatenate([sums[2], zero]),
-                ]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], schema=arrow)
+                yield part_rows(batch.column("doc_id").slice(a, b - a), keys, n, sums, where >> 8, w, (where & 255).astype(np.int32), c, arrow)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -371,7 +401,143 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
         F.sum(F.col("base") + F.when(ours, F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).otherwise(0.0)).alias("base"),
         F.sum(F.col("score") + F.when(ours, F.col("n") * F.log10(p)).otherwise(0.0)).alias("score"),
     )
+    return finished(sums, sizes.words, sizes.tokens)
+
+
+def finished(sums: DataFrame, n_words: int, n_tokens: int) -> DataFrame:
+    """Scores of the texts from the sums over them: doc_id, rows (equal ones), n_tokens, n_known, base, score."""
     each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))  # equal rows were summed together
     share = lambda c: F.col(c) / F.col("rows")
-    base_score = share("base") - share("n_tokens") * float(np.log10(sizes.tokens + sizes.words + 1))
-    return each.select("doc_id", share("n_tokens").cast("long").alias("n_tokens"), share("n_known").cast("long").alias("n_known"), F.lit(sizes.tokens).cast("long").alias("train_tokens"), base_score.alias("base_score"), share("score").alias("score"))
+    base_score = share("base") - share("n_tokens") * float(np.log10(n_tokens + n_words + 1))
+    return each.select("doc_id", share("n_tokens").cast("long").alias("n_tokens"), share("n_known").cast("long").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), base_score.alias("base_score"), share("score").alias("score"))
+
+
+class Histories(NamedTuple):
+    """The model with a restaurant for each preceding word. pairs: w, u, c, of_word (the word's count), p; contexts: u, backs; words: w, size, roots."""
+
+    pairs: DataFrame
+    contexts: DataFrame
+    words: DataFrame
+    n_words: int
+    n_tokens: int
+    #: The parent's probability of an unknown word in each kept sample.
+    unknown: list[float]
+
+
+def histories(training: DataFrame) -> Histories:
+    """Gibbs sweeps over the restaurants of all preceding words. A dish of one customer always has one table, so only
+    the others are seated; the state of words and contexts meets them by joins."""
+    pairs = written(pair_sums(training, preceding, "long"))
+    sums = (F.sum("c").alias("size"), F.sum((F.col("c") == 1).cast("double")).alias("ones"), F.count("*").cast("double").alias("tables"))
+    none = F.array().cast("array<double>")
+    contexts = written(pairs.groupBy("u").agg(*sums).withColumn("backs", none))
+    words = written(pairs.groupBy("w").agg(*sums).withColumn("m", F.lit(1.0)).withColumn("roots", none))
+    n_words, n_tokens, customers = (x or 0 for x in words.agg(F.count("*"), F.sum("size"), F.sum("tables")).first())
+    base, state, unknown = 1 / (n_words + 1), Totals(np.zeros(0), float(customers), float(n_words)), []
+    many = pairs.where("c > 1").withColumn("kept", F.lit(0.0))
+    for i in range(SWEEPS):
+        keep = i >= SWEEPS - KEPT
+        more = (S0 + D0 * state.parent) * base
+
+        def seat(batches: Iterator[pa.RecordBatch], i: int = i, keep: bool = keep) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                w, u, c, kept, root, tables = (b.column(x).to_numpy() for x in ("w", "u", "c", "kept", "root", "tables"))
+                t = seated(c.astype(float), (S1 + D1 * tables) * root, D1, mixed(w.view(np.uint64) + mixed(u.view(np.uint64) + np.uint64(1 + 1000 * i))))
+                kept = kept + np.maximum(c - D1 * t, 0) if keep else kept
+                yield pa.RecordBatch.from_arrays([b.column("w"), b.column("u"), b.column("c"), pa.array(kept), pa.array(t)], names=["w", "u", "c", "kept", "t"])
+
+        def reseat(batches: Iterator[pa.RecordBatch], i: int = i, more: float = more) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                m = seated(b.column("tables").to_numpy(), np.full(len(b), more), D0, mixed(b.column("w").to_numpy().view(np.uint64) + np.uint64(77 + i)))
+                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("w", "size", "ones", "tables")), pa.array(m), b.column("roots")], names=["w", "size", "ones", "tables", "m", "roots"])
+
+        met = many.join(small(words.where("size > ones").select("w", root_of(state, base).alias("root")), BROADCAST_ROWS), "w")
+        met = met.join(small(contexts.where("size > ones").select("u", "tables"), BROADCAST_ROWS), "u")
+        many = written(met.select("w", "u", "c", "kept", "root", "tables").mapInArrow(seat, "w long, u long, c long, kept double, t double"))
+        tables = (F.col("ones") + F.coalesce("t", F.lit(0.0))).alias("tables")
+        contexts = written(contexts.join(many.groupBy("u").agg(F.sum("t").alias("t")), "u", "left").select("u", "size", "ones", tables, "backs"))
+        words = words.join(many.groupBy("w").agg(F.sum("t").alias("t")), "w", "left").select("w", "size", "ones", tables, "roots")
+        words = written(words.mapInArrow(reseat, "w long, size long, ones double, tables double, m double, roots array<double>"))
+        customers, parent = (x or 0.0 for x in words.agg(F.sum("tables"), F.sum("m")).first())
+        state = Totals(np.zeros(0), customers, parent)
+        if keep:
+            contexts = contexts.withColumn("backs", F.concat("backs", F.array((S1 + D1 * F.col("tables")) / (S1 + F.col("size")))))
+            words = words.withColumn("roots", F.concat("roots", F.array(root_of(state, base))))
+            unknown.append(float(parent_share(np.zeros(1), np.zeros(1), state, base)[0]))
+        many = many.drop("t")
+    every = many.unionByName(pairs.where("c = 1").withColumn("kept", F.lit(KEPT * (1 - D1))))
+    every = every.join(small(words.select("w", F.col("size").alias("of_word"), "roots"), BROADCAST_ROWS), "w").join(small(contexts.select("u", "size", "backs"), BROADCAST_ROWS), "u")
+    p = F.col("kept") / KEPT / (S1 + F.col("size")) + sum(F.get("roots", k) * F.get("backs", k) for k in range(KEPT)) / KEPT
+    return Histories(written(every.select("w", "u", "c", "of_word", p.alias("p"))), contexts, words, n_words, n_tokens, unknown)
+
+
+def root_of(s: Totals, base: float) -> Column:
+    """parent_share of a word's row."""
+    return (F.greatest(F.col("tables") - D0 * F.col("m"), F.lit(0.0)) + (S0 + D0 * s.parent) * base) / (S0 + s.customers)
+
+
+def pair_hash(words: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mixed(words + mixed(before + np.uint64(1)))
+
+
+class HeadPairs:
+    """The head pairs' hashes in order, with log10(1 + the word's count) and log10 of the pair's probability."""
+
+    def __init__(self, rows: pa.Table):
+        w, u, of_word, p = (rows[c].to_numpy() for c in ("w", "u", "of_word", "p"))
+        keys = pair_hash(w.view(np.uint64), u.view(np.uint64))
+        order = np.argsort(keys)
+        self.keys, self.base, self.logs = keys[order], np.log10(of_word[order] + 1), np.log10(p[order])
+
+
+def scored_pairs(docs: DataFrame, model: HeadPairs) -> DataFrame:
+    """As scored, by the pairs of each token and the one before it."""
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL(PARTS.replace("u int", "u long")).fields[1:]])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, arrow = shared.value, to_arrow_schema(schema)
+        for batch in batches:
+            for a, b in chunks(texts := batch.column("text").to_pylist()):
+                words, bounds = tokens(texts[a:b])
+                before, n = preceding(words, bounds), np.diff(bounds)
+                doc, hashes = np.repeat(np.arange(b - a), n), pair_hash(words, before)
+                at = np.searchsorted(model.keys, hashes)
+                at[at == len(model.keys)] = 0
+                known = model.keys[at] == hashes if len(model.keys) else np.zeros(len(words), bool)
+                sums = [np.bincount(doc[known], x, b - a) for x in (None, model.base[at[known]], model.logs[at[known]])]
+                # The rest, once for each document and pair.
+                rest = np.flatnonzero(~known)
+                rest = rest[np.lexsort((hashes[rest], doc[rest]))]
+                new = np.ones(len(rest), bool)
+                new[1:] = (hashes[rest[1:]] != hashes[rest[:-1]]) | (doc[rest[1:]] != doc[rest[:-1]])
+                first = np.flatnonzero(new)
+                one = rest[first]
+                yield part_rows(batch.column("doc_id").slice(a, b - a), text_keys(words, bounds, doc), n, sums, doc[one], words[one], before[one].view(np.int64), np.diff(np.append(first, len(rest))), arrow)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def score_by_histories(docs: DataFrame, training: DataFrame) -> DataFrame:
+    """As score_documents, with a restaurant for each preceding word."""
+    model = histories(training)
+    head = F.col("c") > model.n_tokens // (2 * HEAD_PAIRS)  # fewer than 2 HEAD_PAIRS
+    rows = scored_pairs(docs, HeadPairs(model.pairs.where(head).select("w", "u", "of_word", "p").toArrow()))
+    met = rows.join(model.pairs.where(~head).select("w", "u", "of_word", "p"), ["w", "u"], "left")
+    ours, found = F.col("n") > 0, F.col("p").isNotNull()
+    sums = written(met.groupBy("doc_id", "key").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("n_tokens").alias("n_tokens"),
+        F.sum(F.col("n_known") + F.when(ours & found, F.col("n")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("base") + F.when(ours & found, F.col("n") * F.log10(F.col("of_word") + 1)).otherwise(0.0)).alias("base"),
+        F.sum(F.col("score") + F.when(ours & found, F.col("n") * F.log10("p")).otherwise(0.0)).alias("score"),
+        F.collect_list(F.when(ours & ~found, F.struct("w", "u", "n"))).alias("unseen"),
+    ))
+    # Pairs that training does not hold: the parent's probability by the context's mass for it. A list is a document's own.
+    unseen = sums.select("doc_id", "key", F.explode("unseen").alias("x")).select("doc_id", "key", "x.*")
+    unseen = unseen.join(small(model.words.select("w", "size", "roots"), BROADCAST_ROWS), "w", "left").join(small(model.contexts.select("u", "backs"), BROADCAST_ROWS), "u", "left")
+    p = sum(F.coalesce(F.get("roots", k), F.lit(model.unknown[k])) * F.coalesce(F.get("backs", k), F.lit(1.0)) for k in range(KEPT)) / KEPT
+    nothing, known = F.lit(0).cast("long"), F.col("size").isNotNull()
+    parts = unseen.select("doc_id", "key", nothing.alias("rows"), nothing.alias("n_tokens"), F.when(known, F.col("n")).otherwise(0).cast("long").alias("n_known"), (F.col("n") * F.log10(F.coalesce("size", nothing) + 1)).alias("base"), (F.col("n") * F.log10(p)).alias("score"))
+    names = ("rows", "n_tokens", "n_known", "base", "score")
+    return finished(sums.drop("unseen").unionByName(parts).groupBy("doc_id", "key").agg(*(F.sum(c).alias(c) for c in names)), model.n_words, model.n_tokens)

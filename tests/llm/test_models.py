@@ -538,3 +538,52 @@ def test_queries_return_their_contracts(spark, tmp_path):
         if k in want:
             df = f(spark, sf)
             assert set(want[k]) <= set(df.columns) and df.count() == n
+
+
+def test_every_preceding_word_has_a_restaurant(spark, tmp_path, monkeypatch):
+    """op8 against dictionaries, on texts with more preceding words than the bounded form has contexts."""
+    from strandlake.llm.queries import op8_pitman_yor
+
+    monkeypatch.setattr(py, "HEAD_PAIRS", 40)  # so that some pairs are not frequent
+    rng, follows = random.Random(4), {f"a{i}": f"b{i * 7 % 150}" for i in range(150)}
+    rows = [(i, " ".join(x for a in rng.choices(list(follows), k=60) for x in (a, follows[a] if rng.random() < 0.9 else rng.choice(WORDS)))) for i in range(40)]
+    rows += [(40, None), (41, "never seen a1 b7"), (41, "never seen a1 b7"), (None, rows[0][1]), (9, "a1 b7 of a1 b7")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    texts = [(i, py.tokens([t])[0].tolist()) for i, t in rows]
+    placed = lambda words: zip(words, [int(py.START), *words], strict=False)
+    c = Counter(x for i, words in texts if not held(i) for x in placed(words))
+    counts, size = Counter(), Counter()
+    for (w, u), n in c.items():
+        counts[w] += n
+        size[u] += n
+    assert len(size) > py.CONTEXTS and any(held(i) and x not in c for i, words in texts for x in placed(words))
+    base = 1 / (len(counts) + 1)
+    seat = lambda n, new, d, key: float(py.seated(np.array([float(n)]), np.array([new]), d, np.array([key], np.uint64))[0])
+    key = lambda w, u, i: int(py.mixed(np.array([w], np.uint64) + py.mixed(np.array([u], np.uint64) + np.uint64(1 + 1000 * i)))[0])
+    parent = lambda w, i: int(py.mixed(np.array([w], np.uint64) + np.uint64(77 + i))[0])
+    tables, n_of, m_of = Counter(u for _, u in c), Counter(w for w, _ in c), dict.fromkeys(counts, 1)
+    customers, of_parent, kept = float(len(c)), float(len(counts)), []
+    share = lambda n, m: (max(n - py.D0 * m, 0) + (py.S0 + py.D0 * of_parent) * base) / (py.S0 + customers)
+    for i in range(py.SWEEPS):
+        t = {(w, u): seat(n, (py.S1 + py.D1 * tables[u]) * share(n_of[w], m_of[w]), py.D1, key(w, u, i)) for (w, u), n in c.items()}
+        n_of, tables = Counter(), Counter()
+        for (w, u), x in t.items():
+            n_of[w] += x
+            tables[u] += x
+        m_of = {w: seat(n_of[w], (py.S0 + py.D0 * of_parent) * base, py.D0, parent(w, i)) for w in counts}
+        customers, of_parent = sum(n_of.values()), sum(m_of.values())
+        if i >= py.SWEEPS - py.KEPT:
+            kept.append((t, {w: share(n_of[w], m_of[w]) for w in counts} | {None: share(0, 0)}, {u: (py.S1 + py.D1 * tables[u]) / (py.S1 + size[u]) for u in size}))
+
+    def p(w, u):
+        return np.mean([max(c[w, u] - py.D1 * t.get((w, u), 0), 0) / (py.S1 + size[u]) + back.get(u, 1.0) * roots.get(w, roots[None]) for t, roots, back in kept])
+
+    for u in list(size)[:5]:  # a distribution over the words and the unknown one
+        assert sum(p(w, u) for w in [*counts, None]) == pytest.approx(1, abs=1e-9)
+    n = sum(counts.values())
+    want = sorted((repr(i), len(words), sum(counts[w] > 0 for w in words), sum(math.log10((counts[w] + 1) / (n + len(counts) + 1)) for w in words), sum(math.log10(p(w, u)) for w, u in placed(words))) for i, words in texts)
+    got = sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in op8_pitman_yor(spark, str(tmp_path)).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    for x, y in zip(got, want, strict=True):
+        assert x[3:] == pytest.approx(y[3:], rel=1e-9, abs=1e-9)
