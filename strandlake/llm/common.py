@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +76,21 @@ class Memory(dict):
         return out
 
 
+#: What is kept in a worker from one task to the next: a name, and what drops it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def relieve() -> None:
+    """Drops what earlier operators' tasks kept in this worker, which Spark reuses, and gives freed memory back."""
+    if not KEPT:
+        return
+    while KEPT:
+        KEPT.popitem()[1]()
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most max_rows rows, else as it is (a shuffled join, which AQE splits where skewed)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import written
+from .common import KEPT, written
 
 K, W = 5, 6
 WINDOW = K + W - 1
@@ -58,6 +58,8 @@ def powers(base: np.uint64, n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B0
         out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
         _kept[base] = np.multiply.accumulate(out)
+        if len(out) > 1 << 20:
+            KEPT["powers"] = _kept.clear
     return _kept[base][:n]
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import labelled_sample, written
+from .common import labelled_sample, relieve, written
 from .decontaminate import chunks, mixed, text_bytes, word_hashes
 
 #: Bound on the labelled rows.
@@ -38,8 +38,8 @@ SAMPLE = 8000
 DIMENSIONS, NONZERO, SPAN = 32, 4, 2
 #: Terms whose vectors are of the whole corpus, and how many of them share a row on their way.
 VOCABULARY, BLOCK = 1 << 17, 64
-#: Words that a task counts at once, and bytes of text whose words are looked at together.
-GATHER, CHUNK_BYTES = 2_000_000, 1 << 20
+#: Words that a task counts at once, bytes of text whose words are looked at together, and rows whose texts are Python's at once.
+GATHER, CHUNK_BYTES, SLICE = 2_000_000, 1 << 18, 512
 HIDDEN, EPOCHS, RATE = 32, 60, 3e-3
 #: Least score of a document that counts as good.
 GOOD = 0.7
@@ -100,10 +100,14 @@ def places_in(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(known[at] == keys, at, len(known))
 
 
-def batch_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """The batches' rows, few at a time, with their texts."""
+    relieve()
     for batch in batches:
-        for a, b in chunks(texts := batch.column("text").to_pylist(), CHUNK_BYTES):
-            yield texts[a:b]
+        for at in range(0, len(batch), SLICE):
+            part = batch.slice(at, SLICE)
+            for a, b in chunks(texts := part.column("text").to_pylist(), CHUNK_BYTES):
+                yield part.slice(a, b - a), texts[a:b]
 
 
 def vocabulary_of(docs: DataFrame, most: int) -> np.ndarray:
@@ -117,7 +121,7 @@ def vocabulary_of(docs: DataFrame, most: int) -> np.ndarray:
             own, n = np.unique(np.concatenate(parts), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], schema=to_arrow_schema(schema))
 
-        for texts in batch_texts(batches):
+        for _, texts in pieces(batches):
             _, *kinds, _ = terms(texts)
             parts += kinds
             waiting += len(kinds[0])
@@ -162,7 +166,7 @@ def context_vectors(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, DIMENSIONS), np.int64)
-        for texts in batch_texts(batches):
+        for _, texts in pieces(batches):
             words, *kinds, bounds = terms(texts)
             near = neighbours(words, bounds)
             for kind in kinds:
@@ -275,10 +279,9 @@ def fit(docs: DataFrame, labels: DataFrame, pooling: Broadcast, sample: int = SA
     schema = StructType.fromDDL("doc_id long, label int, x binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in chunks(texts := batch.column("text").to_pylist(), CHUNK_BYTES):
-                x = [r.tobytes() for r in pooling.value(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.array(x, pa.binary())], schema=to_arrow_schema(schema))
+        for part, texts in pieces(batches):
+            x = [r.tobytes() for r in pooling.value(texts)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(x, pa.binary())], schema=to_arrow_schema(schema))
 
     known = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text").mapInArrow(run, schema)
     # Of several texts with one id, one: that of the least vector.
@@ -300,10 +303,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, arrow = shared.value, to_arrow_schema(schema)
-        for batch in batches:
-            for a, b in chunks(texts := batch.column("text").to_pylist(), CHUNK_BYTES):
-                scores = np.full(b - a, model) if isinstance(model, float) else model(pooling.value(texts[a:b]))
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c).cast(arrow.field(c).type) for c in carry), pa.array(np.asarray(scores, float))], schema=arrow)
+        for part, texts in pieces(batches):
+            scores = np.full(len(texts), model) if isinstance(model, float) else model(pooling.value(texts))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).cast(arrow.field(c).type) for c in carry), pa.array(np.asarray(scores, float))], schema=arrow)
 
     return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import Memory
+from .common import KEPT, Memory
 from .token_count import byte_alphabet
 
 END_ID = 0
@@ -86,6 +86,7 @@ class Encoder:
     def at(cls, path: str) -> Encoder:
         if path not in cls._of:
             cls._of[path] = cls(path)
+            KEPT["token_store"] = cls._of.clear
         return cls._of[path]
 
     def whole(self, text: str) -> bytes:

@@ -587,3 +587,29 @@ def test_every_preceding_word_has_a_restaurant(spark, tmp_path, monkeypatch):
     assert [x[:3] for x in got] == [x[:3] for x in want]
     for x, y in zip(got, want, strict=True):
         assert x[3:] == pytest.approx(y[3:], rel=1e-9, abs=1e-9)
+
+
+def test_quality_holds_little_in_a_reused_worker(vocabulary):
+    """What the token store and long texts left in a worker is dropped, and texts are looked at in small pieces."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from strandlake.llm import common
+    from strandlake.llm.decontaminate import powers
+
+    ts.Encoder.at(vocabulary).texts(["some words"])
+    powers(np.uint64(3), 1 << 21)
+    assert common.KEPT.keys() >= {"token_store", "powers"} and ts.Encoder._of
+    rng = random.Random(6)
+    texts = [None, "", *(text_of(rng, 400) for _ in range(600))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    parts = list(qc.pieces(iter([batch])))
+    assert not common.KEPT and not ts.Encoder._of and not powers.__defaults__[0]
+    assert [i for part, _ in parts for i in part.column("doc_id").to_pylist()] == list(range(len(texts))) and [t for _, x in parts for t in x] == texts
+    pooling = qc.Pooling(np.unique(qc.terms(texts)[0]), np.ones((len(np.unique(qc.terms(texts)[0])), qc.DIMENSIONS), np.int64))
+    tracemalloc.start()
+    got = np.vstack([pooling(x) for _, x in parts])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000 and np.allclose(got, pooling(texts))
