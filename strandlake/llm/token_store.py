@@ -78,7 +78,7 @@ class Encoder:
         self.alphabet = str.maketrans(dict(enumerate(byte_alphabet())))
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.pieces, self.met = Memory(self.tokenized, CACHE_PIECES), Memory(self.part, CACHE_PIECES)
+        self.pieces, self.met = Memory(self.piece, CACHE_PIECES), Memory(self.part, CACHE_PIECES)
         self.blank, self.code = byte_alphabet()[32], "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([END_ID], self.dtype).tobytes()
 
@@ -101,6 +101,10 @@ class Encoder:
             piece = piece.translate(self.alphabet)
         return array(self.code, [t.id for t in self.library.model.tokenize(piece)]).tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece; those of a blank and a word are kept in one place, however the text around them was cut."""
+        return self.met[piece[1:]] if piece[0] == " " and piece[1:].isalpha() else self.tokenized(piece)
+
     def stretch(self, text: str) -> bytes:
         """Ids of a text or of a part that the split cuts out of one."""
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
@@ -111,7 +115,7 @@ class Encoder:
             return self.tokenized(" " + part)
         word = part.rstrip(MARKS)
         if word.isalpha():  # and a run of marks, which is a piece by itself
-            return (self.met.get(word) or self.tokenized(" " + word)) + self.pieces[part[len(word) :]]
+            return self.met[word] + self.pieces[part[len(word) :]]
         return self.stretch(" " + part) if part and part.strip() == part else None
 
     def text(self, text: str) -> bytes:

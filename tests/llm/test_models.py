@@ -613,3 +613,13 @@ def test_quality_holds_little_in_a_reused_worker(vocabulary):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60_000_000 and np.allclose(got, pooling(texts))
+
+
+def test_a_word_is_encoded_once(vocabulary, monkeypatch):
+    """Whatever marks, blanks and lines stand around it."""
+    seen, tokenized = Counter(), ts.Encoder.tokenized
+    monkeypatch.setattr(ts.Encoder, "tokenized", lambda self, piece: seen.update([piece]) or tokenized(self, piece))
+    encoder = ts.Encoder(vocabulary)
+    texts = ["so Zyxword, Zyxword. Zyxword! one\nline Zyxword's", "a  run of Zyxword blanks", "Zyxword Zyxword; the Zyxword"]
+    assert [encoder.text(t) for t in texts] == [encoder.whole(t) for t in texts]
+    assert seen[" Zyxword"] == 1 and max(seen.values()) == 1
