@@ -46,6 +46,8 @@ LEAST = (4, 5)
 ROWS, BANDS = 5, 30
 #: Pivots of a bucket in each round; the last number holds for all further ones.
 PIVOTS = (1, 8, 64, 256)
+#: Shares of a bucket for each pivot of a round; of the first of each, those of the greatest degrees become pivots.
+SHARES = 4
 #: Bits of a bitmap for each unit, at least, and its greatest number of 64-bit words.
 BITS_PER_UNIT, MAX_BITMAP = 4, 64
 #: Rows (of ids, of buckets with their pivots) up to which they are broadcast; more are joined by a shuffle.
@@ -253,14 +255,20 @@ def classes_of(members: DataFrame, docs: DataFrame) -> DataFrame | None:
 
 
 def pivots_of(rows: DataFrame, turn: int) -> DataFrame:
-    """band and pivots for the buckets of several classes: of the members outside the largest class (at first of all), the one of the greatest degree in each of some shares."""
+    """band and pivots for the buckets of several classes: of the members outside the largest class (at first of all), those of the greatest degrees; where they are few, all of them."""
     sizes = rows.groupBy("band", "class").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("m", "class")).alias("largest"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band", F.col("largest.class").alias("largest"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("m", "class")).alias("largest"), F.sum("m").alias("m"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
+    largest = largest.select("band", F.col("largest.class").alias("largest"), (F.col("m") - F.col("largest.m")).alias("others"))
     left = rows.join(small(written(largest), BROADCAST_IDS), "band")
     some = left if turn == 0 else left.where("class <> largest")
-    share = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(PIVOTS[min(turn, len(PIVOTS) - 1)]))
-    one = F.max_by(F.struct("node", "class", "n", "bits"), F.struct("degree", -F.col("node")))
-    return some.groupBy("band", share.alias("share")).agg(one.alias("p")).groupBy("band").agg(F.collect_list("p").alias("pivots"))
+    # Few members are a share each, as those that fall into one share would keep the whole bucket for another round.
+    most = PIVOTS[min(turn, len(PIVOTS) - 1)]
+    share = F.lit(0) if most == 1 else F.when(F.col("others") <= most * SHARES, F.col("node")).otherwise(F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(most * SHARES)))
+    order = F.struct("degree", (-F.col("node")).alias("least"))
+    one = F.max_by(F.struct("node", "class", "n", "bits"), order)
+    shares = some.groupBy("band", share.alias("share")).agg(F.struct(F.max(order).alias("order"), one.alias("p")).alias("one"))
+    ranked = F.slice(F.sort_array(F.collect_list("one"), asc=False), 1, most)
+    return shares.groupBy("band").agg(F.transform(ranked, lambda x: x["p"]).alias("pivots"))
 
 
 def near_duplicates(docs: DataFrame, *, rows: int = ROWS, bands: int = BANDS) -> DataFrame:

@@ -176,6 +176,20 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()} == want
 
 
+def test_few_members_outside_the_largest_class_are_pivots_at_once(spark):
+    """Else their bucket, with all of its largest class, would be joined in a further round."""
+    rows = [(1, node, 7, 10, [0], node % 5 + 1) for node in range(20)]  # one large class
+    rows += [(1, 100 + i, 100 + i, 10, [0], 1) for i in range(8)]
+    rows += [(2, node, 7, 10, [0], 1) for node in range(20)] + [(2, 100 + i, 100 + i, 10, [0], i + 1) for i in range(30)] + [(3, 200 + i, 7, 10, [0], 1) for i in range(4)]
+    met = spark.createDataFrame(rows, "band long, node long, class long, n long, bits array<long>, degree long").repartition(3)
+    got = {r.band: [p.node for p in r.pivots] for r in nd.pivots_of(met, 1).collect()}
+    assert sorted(got.pop(1)) == list(range(100, 108))
+    assert got == {2: list(range(129, 121, -1))}
+    first = {r.band: len(r.pivots) for r in nd.pivots_of(met, 0).collect()}
+    many = spark.createDataFrame([(1, i, i, 10, [0], 1) for i in range(5000)], met.schema)
+    assert first == {1: 1, 2: 1} and [len(nd.pivots_of(many, t).first().pivots) for t in range(4)] == list(nd.PIVOTS)
+
+
 def test_bitmaps_never_differ_in_more_bits_than_the_units():
     rng = np.random.default_rng(5)
     for n, shared in ((10, 3), (150, 120), (3000, 2900), (9000, 100)):
