@@ -36,6 +36,7 @@ SEED = 17
 def apportion(children: DataFrame, parent: list[str], key: str) -> DataFrame:
     """children with `quota`: the parent's `seats` dealt among its children by Sainte-Laguë, none above `limit`.
 
+    The bounds (a row for each child) are written out, as both what is dealt and what is returned read them: else the plan doubles with each level.
     children: parent columns, key, weight (double), limit (long), seats (long, the same within a parent). Keys are not null; ties go to the lower key.
     """
     over = Window.partitionBy(*parent)
@@ -58,6 +59,7 @@ def apportion(children: DataFrame, parent: list[str], key: str) -> DataFrame:
         .withColumns({"_low": F.least(F.greatest(F.floor(F.col("_t") - slack), F.lit(0)).cast("long"), "limit"), "_high": F.least(F.ceil(F.col("_t") + slack).cast("long"), "limit")})
         .withColumn("_rest", F.col("seats") - F.sum("_low").over(over))
     )
+    bounds = written(bounds.select(*children.columns, "_low", "_high", "_rest"))
     some = bounds.where((F.col("_high") > F.col("_low")) & (F.col("weight") > 0))
     order = Window.partitionBy(*parent).orderBy(F.col("_q").desc(), F.col(key))
     won = (

@@ -279,6 +279,12 @@ def test_rows_without_ids_are_dealt_one_by_one(spark, monkeypatch):
     assert len({r.taken for r in got if r.doc_id is None}) > 1
 
 
+def test_plans_of_the_mix_stay_small(docs):
+    """Each level of the apportionment once, not twice as often as the level above."""
+    plan = mix_sources(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 6
+
+
 def brute_targets(sizes):
     keys = sorted((k for k in sizes if k is not None), key=lambda k: [ord(c) for c in k]) + [None] * (None in sizes)
     weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(keys)}
