@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import shared_dir, small, table, words_of
+from strandlake.llm.common import relieve_driver, shared_dir, small, table, words_of
 from strandlake.llm.decontaminate import NEW, find_contamination
 from strandlake.llm.mixing import mix_sources
 from strandlake.llm.near_duplicates import near_duplicates
@@ -27,6 +27,7 @@ def renamed(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, dict[st
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (empty ones by the score of an empty text)."""
+    relieve_driver(spark)
     safe, back = renamed(docs, ("_quality",))
     scored = score_quality(safe, learnt_from(spark, sf_dir, "quality", 4, 2), carry=safe.columns, name="_quality")
     return scored.where(F.col("_quality") >= GOOD).drop("_quality").withColumnsRenamed(back)
@@ -35,6 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the least id; rows with one id are one document, of which the row of the
     least hash stays; rows without an id stay."""
+    relieve_driver(spark)
     classes = near_duplicates(docs.select("doc_id", "text"))
     dropped = classes.where("doc_id <> class_id").select("doc_id").distinct()
     kept = docs.join(small(dropped, BROADCAST_IDS), "doc_id", "left_anti")
@@ -49,6 +51,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
+    relieve_driver(spark)
     safe, back = renamed(docs, NEW)
     found = find_contamination(safe, table(spark, sf_dir, "benchmark"))
     return found.where("not contaminated").select(*safe.columns).withColumnsRenamed(back)
@@ -56,6 +59,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it, to the nearest whole number (equal rows share what they are given)."""
+    relieve_driver(spark)
     safe, back = renamed(docs, ("_size", "_doc", "_source", "_words", "_times", "_copy"))
     taken = mix_sources(docs.select("doc_id", "source", "text"))
     times = taken.where("size > 0").groupBy("doc_id", "source", "size").agg(F.round(F.sum("taken") / F.count("*") / F.col("size")).cast("int").alias("_times"))
@@ -68,6 +72,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token store and reads it back: doc_id, start, n_tokens, ids_crc32, intact."""
+    relieve_driver(spark)
     path = shared_dir(spark)
     write_store(docs.select("doc_id", "text"), vocabulary(), path)
     return read_store(spark, path)

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,11 +87,41 @@ def relieve() -> None:
         return
     while KEPT:
         KEPT.popitem()[1]()
+    trimmed()
+
+
+def trimmed() -> None:
+    """Gives this process's freed memory back."""
     gc.collect()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 
 
+def relieve_driver(spark: SparkSession) -> bool:
+    """Gives back what the driver has freed, in Python and in its JVM, where compiling the code of many plans leaves much in glibc's arenas.
+    The JVM collects its garbage first, so that shuffles and broadcasts which no plan refers to go too. Whether the JVM could: OpenJDK on Linux can from 17.0.9 on."""
+    trimmed()
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+
+    def listed(kind, *items):
+        out = new(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    jvm.System.gc()
+    try:
+        # By the interface's method, as Py4J doesn't see those of the server's own class.
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        kinds = [jvm.java.lang.Class.forName(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", listed(jvm.java.lang.Class, *kinds))
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke.invoke(server, listed(jvm.Object, name, "systemTrimNativeHeap", listed(jvm.Object), listed(jvm.String)))
+    except Py4JError:
+        return False
+    return True
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most max_rows rows, else as it is (a shuffled join, which AQE splits where skewed)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

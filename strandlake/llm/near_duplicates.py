@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import small, written
+from .common import relieve_driver, small, written
 from .decontaminate import chunks, kgrams, mixed, text_bytes, word_hashes
 
 SHINGLE = 5
@@ -251,6 +251,7 @@ def classes_of(members: DataFrame, docs: DataFrame) -> DataFrame | None:
             met = met.drop("class").join(small(classes, BROADCAST_IDS), "node", "left").withColumn("class", F.coalesce("class", "node"))
         met = written(met)
         turn += 1
+        relieve_driver(docs.sparkSession)
     return classes
 
 

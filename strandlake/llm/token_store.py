@@ -77,7 +77,7 @@ class Encoder:
         self.split = regex.compile(PIECES).findall
         self.alphabet = str.maketrans(dict(enumerate(byte_alphabet())))
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")  # as width
         self.pieces, self.met = Memory(self.piece, CACHE_PIECES), Memory(self.part, CACHE_PIECES)
         self.blank, self.code = byte_alphabet()[32], "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([END_ID], self.dtype).tobytes()
@@ -89,6 +89,13 @@ class Encoder:
             KEPT["token_store"] = cls._of.clear
         return cls._of[path]
 
+    @staticmethod
+    def width(path: str) -> int:
+        """Bytes an id takes, without an encoder that the driver would keep."""
+        from tokenizers import Tokenizer
+
+        return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -225,7 +232,7 @@ def _cut(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 def write_store(docs: DataFrame, vocabulary: str, path: str) -> None:
     """Writes docs (doc_id, text) into a new store at path."""
-    spark, width = docs.sparkSession, Encoder.at(vocabulary).dtype.itemsize
+    spark, width = docs.sparkSession, Encoder.width(vocabulary)
     first = F.row_number().over(Window.partitionBy("hash").orderBy(F.col("docs")[0], F.col("places")[0])) == 1
     chunks = _cut(docs, vocabulary).withColumn("ids", F.when(first, F.col("ids")))
     chunks.withColumn("n", F.length("ids") / width).withColumn("n", F.col("n").cast("int")).write.option("compression", "zstd").parquet(f"{path}/chunks")

@@ -637,3 +637,17 @@ def test_a_word_is_encoded_once(vocabulary, monkeypatch):
     texts = ["so Zyxword, Zyxword. Zyxword! one\nline Zyxword's", "a  run of Zyxword blanks", "Zyxword Zyxword; the Zyxword"]
     assert [encoder.text(t) for t in texts] == [encoder.whole(t) for t in texts]
     assert seen[" Zyxword"] == 1 and max(seen.values()) == 1
+
+
+def test_the_driver_gives_back_what_it_freed(spark, docs, vocabulary, monkeypatch):
+    from strandlake.llm import common
+
+    assert common.relieve_driver(spark) in (True, False)
+    monkeypatch.setattr(ts.Encoder, "_of", {})
+    ts.write_store(docs, vocabulary, shared_dir(spark))
+    assert not ts.Encoder._of and ts.Encoder.width(vocabulary) == ts.Encoder(vocabulary).dtype.itemsize
+    turns, calls, pivots_of = [], [], nd.pivots_of
+    monkeypatch.setattr(nd, "pivots_of", lambda met, turn: turns.append(turn) or pivots_of(met, turn))
+    monkeypatch.setattr(nd, "relieve_driver", lambda session: calls.append(common.relieve_driver(session)))
+    nd.near_duplicates(docs).count()
+    assert len(calls) == len(turns) - 1 > 0  # the last round finds no pivots
