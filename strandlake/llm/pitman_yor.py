@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import small, written
+from .common import relieve_driver, small, unwritten, written
 from .decontaminate import chunks, mixed, text_bytes, word_hashes
 
 CONTEXTS, HEAD = 64, 1 << 17
@@ -436,7 +436,7 @@ def histories(training: DataFrame) -> Histories:
     base, state, unknown = 1 / (n_words + 1), Totals(np.zeros(0), float(customers), float(n_words)), []
     many = pairs.where("c > 1").withColumn("kept", F.lit(0.0))
     for i in range(SWEEPS):
-        keep = i >= SWEEPS - KEPT
+        keep, before = i >= SWEEPS - KEPT, [contexts, words, *[many] * (i > 0)]  # the first many are read from the pairs
         more = (S0 + D0 * state.parent) * base
 
         def seat(batches: Iterator[pa.RecordBatch], i: int = i, keep: bool = keep) -> Iterator[pa.RecordBatch]:
@@ -465,10 +465,16 @@ def histories(training: DataFrame) -> Histories:
             words = words.withColumn("roots", F.concat("roots", F.array(root_of(state, base))))
             unknown.append(float(parent_share(np.zeros(1), np.zeros(1), state, base)[0]))
         many = many.drop("t")
+        # The sweep's own shuffles and the state before it are read no more.
+        unwritten(*before)
+        relieve_driver(training.sparkSession)
     every = many.unionByName(pairs.where("c = 1").withColumn("kept", F.lit(KEPT * (1 - D1))))
     every = every.join(small(words.select("w", F.col("size").alias("of_word"), "roots"), BROADCAST_ROWS), "w").join(small(contexts.select("u", "size", "backs"), BROADCAST_ROWS), "u")
     p = F.col("kept") / KEPT / (S1 + F.col("size")) + sum(F.get("roots", k) * F.get("backs", k) for k in range(KEPT)) / KEPT
-    return Histories(written(every.select("w", "u", "c", "of_word", p.alias("p"))), contexts, words, n_words, n_tokens, unknown)
+    out = written(every.select("w", "u", "c", "of_word", p.alias("p")))
+    unwritten(pairs, many)
+    relieve_driver(training.sparkSession)
+    return Histories(out, contexts, words, n_words, n_tokens, unknown)
 
 
 def root_of(s: Totals, base: float) -> Column:

@@ -651,3 +651,15 @@ def test_the_driver_gives_back_what_it_freed(spark, docs, vocabulary, monkeypatc
     monkeypatch.setattr(nd, "relieve_driver", lambda session: calls.append(common.relieve_driver(session)))
     nd.near_duplicates(docs).count()
     assert len(calls) == len(turns) - 1 > 0  # the last round finds no pivots
+
+
+def test_sweeps_keep_one_state_on_disk(spark, docs, tmp_path, monkeypatch):
+    from strandlake.llm import common
+
+    made = []
+    monkeypatch.setattr(common, "shared_dir", lambda session: made.append(f"file://{tmp_path}/{len(made)}") or made[-1])
+    model = py.histories(docs)
+    assert len(made) == 4 + 3 * py.SWEEPS
+    # The pairs with their probabilities, the contexts and the words.
+    assert len(list(tmp_path.iterdir())) == 3
+    assert model.pairs.count() and model.contexts.count() and model.words.count()
