@@ -4,7 +4,7 @@ Every context has a Chinese restaurant whose dishes are words; all share one par
 known words and one unknown. Tables are seated by Gibbs sweeps: given the parent's probability of a word, and the restaurants' totals of the
 sweep before, the customers of each word in each context are seated anew, and its tables sit down in the parent. Probabilities are averaged over the last KEPT sweeps.
 
-score_by_histories, which op8 uses, has a restaurant for each preceding word (and one for the start of a text), however many there are. The
+score_by_histories has a restaurant for each preceding word (and one for the start of a text), however many there are; op8 uses the same model by messages (restaurants). The
 pairs of a word and the one before it stand in a table; the state of words and contexts meets them by joins in each sweep, where only pairs that occur twice or more
 are seated, as a single customer always has one table. Frequent pairs (fewer than 2 HEAD_PAIRS) are scored in the map from a broadcast; all
 others by a join on the pair, and pairs that training does not hold by joins of word and context.

@@ -12,9 +12,9 @@ from .decontaminate import find_contamination
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
 from .oracles import oracle_sql as oracle_sql
-from .pitman_yor import score_by_histories
 from .quality_classifier import GOOD, score_quality
 from .quality_rules import quality_rules
+from .restaurants import score_marked
 from .secret_scan import Ledger
 from .token_count import count_tokens
 from .token_store import read_store, write_store
@@ -74,7 +74,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score_by_histories(docs, docs.where(~held_out(7, 2)))
+    scored = score_marked(docs.select("doc_id", "text", F.lit(True).alias("scored"), (~held_out(7, 2)).alias("learnt")))
     return scored.select("doc_id", held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -663,3 +663,29 @@ def test_sweeps_keep_one_state_on_disk(spark, docs, tmp_path, monkeypatch):
     # The pairs with their probabilities, the contexts and the words.
     assert len(list(tmp_path.iterdir())) == 3
     assert model.pairs.count() and model.contexts.count() and model.words.count()
+
+
+def test_pairs_move_in_few_bytes(spark, tmp_path, monkeypatch):
+    """op8's messages give what the joins give, with several gathers a task and pairs in many texts, and hold less than 16 bytes for each pair and text."""
+    from strandlake.llm import common
+    from strandlake.llm import restaurants as rs
+
+    monkeypatch.setattr(rs, "GATHER", 20_000)
+    monkeypatch.setattr(rs, "HOT", 8)
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(WORDS[:12]) if rng.random() < 0.3 else f"w{int(2 ** (rng.random() * 14))}" for _ in range(300))) for i in range(300)] + [(7, None), (None, "only here"), (8, rng.choice(WORDS))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    learnt = F.coalesce(F.col("doc_id"), F.lit(0)) % 7 != 2
+    want = py.score_by_histories(docs, docs.where(learnt)).collect()
+    monkeypatch.setattr(rs, "shared_dir", lambda session: f"file://{tmp_path}/texts")
+    scored = rs.score_marked(docs.select("doc_id", "text", F.lit(True).alias("scored"), learnt.alias("learnt")))
+    key = lambda r: (repr(r.doc_id), r.n_tokens, round(r.score, 6))
+    for x, y in zip(sorted(scored.collect(), key=key), sorted(want, key=key), strict=True):
+        assert x[:4] == y[:4] and x[4:] == pytest.approx(y[4:], rel=1e-9)
+    kept = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert 0 < kept < 16 * len({(i, *p) for i, t in rows for w in [(t or "").split()] for p in zip(["", *w], [*w, ""], strict=True)})
+    none = docs.limit(0).select("doc_id", "text", F.lit(True).alias("scored"), F.lit(True).alias("learnt"))
+    monkeypatch.setattr(rs, "shared_dir", common.shared_dir)
+    assert rs.score_marked(none).count() == 0
+    untaught = rs.score_marked(docs.select("doc_id", "text", F.lit(True).alias("scored"), F.lit(False).alias("learnt"))).agg(F.sum("n_known"), F.max(F.abs("score"))).first()
+    assert tuple(untaught) == (0, pytest.approx(0, abs=1e-9))
