@@ -126,6 +126,45 @@ def test_group_is_aligned_by_key(lake):
         lake.write(sql(lake, base).select("sym", "ts"), "t", "c/d")
 
 
+def test_merge_into_a_group_with_repeated_keys_and_padding(lake):
+    root = lake.root
+    day = dt.date(2026, 7, 1)
+    import pathlib
+
+    base = pathlib.Path(root, "t")
+    put(base, "index", "month=2026-07", "0000-0000000007.parquet", [("symbol", pa.string(), ["a", "b", "b", None, "c", "d", "e"]), ("date", pa.date32(), [day] * 7)])
+    put(base, "x/y", "month=2026-07", "0000-0000000005.parquet", [("v", pa.int64(), [1, 2, 3, 4, None])])
+    put(base, "x/y", "month=2026-08", "0000-0000000001.parquet", [("v", pa.int64(), [9])])
+    put(base, "index", "month=2026-08", "0000-0000000001.parquet", [("symbol", pa.string(), ["a"]), ("date", pa.date32(), [dt.date(2026, 8, 1)])])
+    new = "SELECT * FROM VALUES (CAST(NULL AS STRING), DATE '2026-07-01', 40L), ('d', DATE '2026-07-01', 60L), ('a', DATE '2026-07-01', 10L), ('a', DATE '2026-07-01', NULL) t(symbol, date, v)"
+    assert lake.write(sql(lake, new).coalesce(1), "t", "x/y", merge=True) == 7
+    # The last row of a key stays, on its first index row; a NULL that is new replaces, and a partition that isn't named stays.
+    assert one(lake, "t", ["v"]) == [(x,) for x in (None, 3, None, 40, None, 60, None, 9)]
+    twice = "SELECT * FROM VALUES ('b', DATE '2026-07-01', 5L), ('b', DATE '2026-07-01', 6L), ('e', DATE '2026-07-01', 7L) t(symbol, date, v)"
+    assert lake.write(sql(lake, twice).coalesce(1), "t", "x/y") == 7
+    assert one(lake, "t", ["v"]) == [(x,) for x in (None, 5, 6, None, None, None, 7, 9)]
+
+
+def test_rows_placed_on_the_index_are_not_sampled(lake, monkeypatch):
+    from strandlake.operators import write as writing
+
+    monkeypatch.setattr(writing, "ROWS_PER_GROUP", 64)  # several tasks for a partition
+    lake.create("t", "index", "sym VARCHAR, ts TIMESTAMP, v BIGINT")
+    base = "SELECT lpad(CAST(x * 7 % 1000 AS STRING), 4, '0') sym, TIMESTAMP_NTZ '2026-03-01 00:00:00' + make_interval(0, 0, 0, 20 * (x % 5)) ts, CAST(x AS BIGINT) v FROM (SELECT explode(sequence(0, 999)) x)"
+    rows = sql(lake, base)
+    lake.write(rows, "t")
+
+    def sampled(*_):
+        raise AssertionError("the rows' places are known, but were sampled")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "repartitionByRange", sampled)
+        lake.write(rows.select("sym", "ts", (F.col("v") * 2).alias("w")), "t", "a/b")
+        lake.write(rows.where("v % 3 = 0").select("sym", "ts", F.lit(-1).alias("w")), "t", "a/b", merge=True)
+    assert {p.index for p in discover(lake.root, "t").group("a/b").partitions["month=2026-03"]} >= {0, 1, 2}
+    assert lake.scan("t", columns=["v", "w"]).where("w <=> IF(v % 3 = 0, -1, 2 * v)").count() == 1000
+
+
 def test_writer_settings_and_many_parts(lake, monkeypatch):
     lake.create("t", "index", "symbol VARCHAR, date DATE, v BIGINT", partition_template="year")
     lake.write(sql(lake, "SELECT concat('s', lpad(id % 100, 3, '0')) symbol, date_add(DATE '2026-01-01', CAST(id / 100 AS INT) % 365) date, id v FROM range(300000)"), "t")
