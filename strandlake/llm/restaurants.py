@@ -13,7 +13,8 @@ hash) and n servers of terms (words and preceding words, by the high bits of the
 
 A pair that more than HOT texts of a gather hold is posted once, as an extra text of the gather; the texts that hold it stand in DOCS. So neither a
 frequent pair nor a frequent word makes a bucket or a server greater than others: those get at most one entry of it from each gather or bucket. The driver only sees totals.
-A bucket holds about BUCKET_BYTES of text, as the number of buckets grows with the input. Words are known by 64-bit hashes.
+A bucket holds about BUCKET_BYTES of text, as the number of buckets grows with the input. It does not follow from the number of shuffle partitions: each
+bucket has a message from each gather and, twice a sweep, from each server, so more buckets than the text fills would only make more messages. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -378,10 +379,15 @@ def finishing(n_words: int, n_tokens: int, schema: StructType) -> Callable:
     return run
 
 
+def buckets(size: int, cores: int) -> int:
+    """For so many bytes of text: two for each core at least."""
+    return max(2 * cores, -(-size // BUCKET_BYTES))
+
+
 def score_marked(rows: DataFrame) -> DataFrame:
     """A row for each row that is `scored`: doc_id, n_tokens, n_known, train_tokens, base_score, score. rows: doc_id, text, and whether they are scored and learnt from."""
     spark = rows.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    n = buckets(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, spark.sparkContext.defaultParallelism)
     path = shared_dir(spark)
     delivered(posted(rows, n), n, merged(n)).write.partitionBy("kind").parquet(path)
     kinds = lambda df, *which: df.where(F.col("kind").isin(*which))

@@ -689,3 +689,23 @@ def test_pairs_move_in_few_bytes(spark, tmp_path, monkeypatch):
     assert rs.score_marked(none).count() == 0
     untaught = rs.score_marked(docs.select("doc_id", "text", F.lit(True).alias("scored"), F.lit(False).alias("learnt"))).agg(F.sum("n_known"), F.max(F.abs("score"))).first()
     assert tuple(untaught) == (0, pytest.approx(0, abs=1e-9))
+
+
+def test_more_shuffle_partitions_make_no_more_messages(spark, monkeypatch):
+    from strandlake.llm import restaurants as rs
+
+    rows = [(i, f"the word {i % 7} and the word {i % 5} once more") for i in range(300)]
+    made, own = [], rs.delivered
+    monkeypatch.setattr(rs, "delivered", lambda df, n, work: made.append(n) or own(df, n, work))
+    before, out = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 61):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+            scored = rs.score_marked(docs.select("doc_id", "text", F.lit(True).alias("scored"), F.lit(True).alias("learnt")))
+            out.append(sorted((r.doc_id, r.n_tokens, r.n_known, round(r.score, 9)) for r in scored.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out[0] == out[1] and len(out[0]) == 300
+    assert set(made) == {2 * spark.sparkContext.defaultParallelism}
+    assert rs.buckets(100 * rs.BUCKET_BYTES + 1, 4) == 101
