@@ -92,8 +92,6 @@ KEPT: dict[str, Callable[[], None]] = {}
 
 def relieve() -> None:
     """Drops what earlier operators' tasks kept in this worker, which Spark reuses, and gives freed memory back."""
-    if not KEPT:
-        return
     while KEPT:
         KEPT.popitem()[1]()
     trimmed()

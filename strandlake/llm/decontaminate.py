@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import KEPT, written
+from .common import KEPT, relieve, written
 
 K, W = 5, 6
 WINDOW = K + W - 1
@@ -35,6 +35,8 @@ WINDOW = K + W - 1
 BLOCK_MB = 32
 #: Bytes of text that are hashed at once; a longer text makes a longer chunk of its own.
 CHUNK_BYTES = 1 << 22
+#: The same, and texts held at once, where documents are marked; some 50 bytes are needed for each of text.
+MARK_BYTES, SLICE = 1 << 18, 512
 
 #: Lower case of A-Z; 0 for what is no word byte. Word bytes: 0-9, A-Z, a-z and all of other letters' UTF-8.
 _LOWER = np.zeros(256, np.uint8)
@@ -217,8 +219,9 @@ def _marked(docs: DataFrame, items: Items, carry: list[str], names: tuple[str, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         items = shared.value
-        for batch in batches:
-            for a, b in chunks(texts := batch.column("text").to_pylist()):
+        relieve()
+        for batch in (x.slice(at, SLICE) for x in batches for at in range(0, len(x), SLICE)):
+            for a, b in chunks(texts := batch.column("text").to_pylist(), MARK_BYTES):
                 words, bounds = word_hashes(*text_bytes(texts[a:b]))
                 found = hits(words, bounds, items)
                 spans = [[{"start": s, "end": e} for s, e in united([[s, e] for s, e, _ in found[i]])] if i in found else [] for i in range(b - a)]

@@ -325,3 +325,28 @@ def test_mixing(docs, none, clashing, corpus, monkeypatch):
         sharded[r.source] += r.taken
         assert r.taken <= 2 * r.size
     assert all(abs(sharded[s] - want[s]) <= max(8, 0.05 * want[s]) for s in sizes)
+
+
+def test_decontamination_holds_few_texts_at_once(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from strandlake.llm import decontaminate as dc
+
+    docs, made = spark.createDataFrame([("a", "x")], "doc_id string, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: made.append(run) or self)
+    dc._marked(docs, dc.Items(["i"], ["one two three four five six seven eight nine ten"]), ["doc_id"], ("n", "spans", "items"))
+    texts = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(2000)]  # some 5 MB
+    texts[1500] += " one two three four five six seven eight nine ten"
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(2000)]), pa.array(texts)], names=["doc_id", "text"])
+    dc.powers(dc._P, 1), dc.powers(dc._INVERSE, 1)
+    tracemalloc.start()
+    try:
+        rows = [r for out in made[0](iter([batch])) for r in out.to_pylist()]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [r["doc_id"] for r in rows] == [str(i) for i in range(2000)] and [r["doc_id"] for r in rows if r["items"]] == ["1500"]
+    assert rows[1500]["spans"] == [{"start": 400, "end": 410}] and {r["n"] for r in rows} == {400, 410}
+    assert most < 60e6, most
