@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -47,7 +48,7 @@ from .token_count import byte_alphabet
 END_ID = 0
 #: Ids under the rolling hash, log2 of a chunk's mean length, and its greatest length.
 RUN, CUT_BITS, MAX_CHUNK = 16, 8, 2048
-CACHE_PIECES = 1 << 18
+CACHE_PIECES = 1 << 19
 #: Documents whose roots are tied together in a manifest part's tree.
 BLOCK = 1024
 #: Ids that are cut and joined at once.
@@ -55,6 +56,11 @@ BATCH_IDS = 1 << 20
 #: The split of GPT-2's byte-level BPE, as the library applies it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
+#: Marks a part of a text that no blank precedes, after a cut between a letter and a mark (or a line's end), or between a lone line's end and a letter.
+CUT = "\x01"
+AFTER_LETTER = re.compile(rf"[{re.escape(MARKS.replace('_', ''))}\n](?<=[^\W\d_].)", re.DOTALL)
+LINE = re.compile(r"\n(?<=\S\n)(?=[^\W\d_])")
+
 
 class Encoder:
     """Text to the bytes of its ids (two or four each)."""
@@ -78,7 +84,7 @@ class Encoder:
         self.alphabet = str.maketrans(dict(enumerate(byte_alphabet())))
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")  # as width
-        self.pieces, self.met = Memory(self.piece, CACHE_PIECES), Memory(self.part, CACHE_PIECES)
+        self.pieces, self.met = Memory(self.piece, CACHE_PIECES >> 2), Memory(self.part, CACHE_PIECES)
         self.blank, self.code = byte_alphabet()[32], "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([END_ID], self.dtype).tobytes()
 
@@ -117,19 +123,21 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def part(self, part: str) -> bytes | None:
-        """Ids of a blank and a part of a text between blanks; None where the blank may belong to a run of white space."""
+        """Ids of a blank and a part of a text between blanks, or of what follows a CUT; None where the blank may belong to a run of white space."""
         if part.isalpha():
             return self.tokenized(" " + part)
-        word = part.rstrip(MARKS)
-        if word.isalpha():  # and a run of marks, which is a piece by itself
-            return self.met[word] + self.pieces[part[len(word) :]]
+        if part[:1] == CUT:
+            return self.stretch(part[1:])
         return self.stretch(" " + part) if part and part.strip() == part else None
 
     def text(self, text: str) -> bytes:
         if not self.by_piece or any(s in text for s in self.special):
             return self.whole(text)
-        # Where every blank stands alone, the split cuts before each one: the parts between are encoded once each.
-        first, *rest = text.split(" ")
+        if CUT in text:
+            return self.stretch(text)
+        # Where every blank stands alone, the split cuts before each one: the parts between are encoded once each. It also cuts between a letter
+        # and a mark or a line's end, and between a lone line's end and a letter, so that a word is one part whatever stands around it.
+        first, *rest = LINE.sub(f"\n {CUT}", AFTER_LETTER.sub(f" {CUT}\\g<0>", text)).split(" ")
         try:
             rest = b"".join(map(self.met.__getitem__, rest)) if first and not first[-1].isspace() or not rest else None
         except TypeError:  # a None among them

@@ -639,6 +639,18 @@ def test_a_word_is_encoded_once(vocabulary, monkeypatch):
     assert seen[" Zyxword"] == 1 and max(seen.values()) == 1
 
 
+def test_a_word_is_kept_once(vocabulary):
+    """One entry for a word with and without marks or a line's end, and the library's ids wherever the texts are cut for that."""
+    encoder, text = ts.Encoder(vocabulary), "so Zyxword, Zyxword. Zyxword!! Zyxword\nor Zyxword's Zyxword.\nZyxword"
+    assert encoder.text(text) == encoder.whole(text)
+    assert [k for k in encoder.met if k.startswith("Zyxword")] == ["Zyxword"]
+    rng = random.Random(8)
+    signs = ["a", "Z", "日本", "é", "e\u0301", "ª", "1", "²", "Ⅷ", ",", ".", "!", "_", "'", "n't", "’", " ", " ", "\n", "\n", "\n\n", "\r\n", "\xa0", "\x1c", ts.CUT]
+    for _ in range(5000):
+        t = "".join(rng.choice(signs) for _ in range(rng.randint(0, 14)))
+        assert encoder.text(t) == encoder.whole(t), repr(t)
+
+
 def test_the_driver_gives_back_what_it_freed(spark, docs, vocabulary, monkeypatch):
     from strandlake.llm import common
 
